@@ -69,6 +69,17 @@ def _clean() -> None:
             return
 
 
+class Sent:
+    """A broadcast of any object, its classes included, so that executors need not import this package."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self.data.value)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import Sent, tune
 
 MIN_BYTES = 16  # shorter items are no evidence
 BUDGET = 0.08  # edits allowed, as a share of an item's bytes
@@ -131,7 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET)
     out, block = None, []
 
     def one(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+        sent = Sent(spark, block)
         return rows.mapInArrow(lambda it: _matches(it, sent, budget), schema)
 
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():

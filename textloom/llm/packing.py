@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune, written
+from .common import Sent, tune, written
 
 CAPACITY = 2048
 END = 1
@@ -253,7 +253,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     tune(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
-    model = spark.sparkContext.broadcast(text)
+    model = Sent(spark, text)
     from tokenizers import Tokenizer
 
     wide = Tokenizer.from_str(text).get_vocab_size() > 1 << 16
@@ -263,7 +263,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     counts = written(t.groupBy("part", "tail").agg(F.count("*").alias("n"), F.sum(F.size("full_crc")).alias("full")))
     demand = {r["tail"]: r["n"] for r in counts.groupBy("tail").agg(F.sum("n").alias("n")).where("tail > 0").collect()}  # < capacity rows
     full = counts.agg(F.sum("full")).first()[0] or 0
-    plan = spark.sparkContext.broadcast(Plan(demand, full, capacity))
+    plan = Sent(spark, Plan(demand, full, capacity))
 
     before = Window.partitionBy("tail").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = counts.groupBy("part").agg(F.sum("full").alias("f"))
