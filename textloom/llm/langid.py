@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,13 +19,18 @@ EPOCHS = 4
 UNKNOWN = "und"
 
 
-@functools.cache
+_tables: dict = {}  # of this process
+
+
 def _letters():
+    """Which code points are letters."""
     import sys
 
     import numpy as np
 
-    return np.frombuffer(bytes(chr(i).isalpha() for i in range(sys.maxunicode + 1)), dtype=bool)
+    if "letters" not in _tables:
+        _tables["letters"] = np.frombuffer(bytes(chr(i).isalpha() for i in range(sys.maxunicode + 1)), dtype=bool)
+    return _tables["letters"]
 
 
 def counts(text: str | None):
