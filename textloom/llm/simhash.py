@@ -104,9 +104,124 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
     return rows.join(final, "fp").select("row_no", "doc_id", "fp", "component", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """docs with one row left of each near-duplicate group: the smallest doc_id, then the earliest row."""
-    found = near_duplicates(docs, words, bits)
+BANDS, ROWS = 16, 3  # buckets of a text, and min-wise samples that one bucket takes together
+REACH = 24  # bits by which 64-bit fingerprints of texts at similarity 0.8 differ at most (10 expected, deviation 3)
+PAIRED = 8  # rows up to which a bucket compares all its pairs
+BROADCAST_ROWS = 200_000
+
+
+def shingle_hashes(text: str | None, words: int):
+    """Distinct XXH64 hashes of a text's word shingles, sorted."""
+    import numpy as np
+    import xxhash
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(w) <= words:
+        return np.array([digest(b" ".join(w), 42)] if w else [], dtype=np.uint64)
+    return np.unique(np.array([digest(b" ".join(x), 42) for x in zip(*(w[i:] for i in range(words)))], dtype=np.uint64))
+
+
+def _features(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Hash of the word sequence, fingerprint and bucket keys of each text."""
+    import numpy as np
+    import xxhash
+
+    multipliers = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for b in batches:
+        out = []
+        for text in b["text"].to_pylist():
+            both = xxhash.xxh3_128_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+            h, least = shingle_hashes(text, words), np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+            counts = np.zeros(64, dtype=np.int64)
+            for at in range(0, len(h), 1 << 13):
+                part = h[at : at + (1 << 13)]
+                least = np.minimum(least, (part[:, None] * multipliers).min(axis=0))
+                counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            fp = int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
+            keys = [xxhash.xxh3_64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+            out.append(((both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63), fp, keys))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays(
+            [b["row_no"], b["doc_id"], *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=["row_no", "doc_id", "d1", "d2", "fp", "bands"]
+        )
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [shingle_hashes(t.as_py(), words).astype("<u8").tobytes() for t in b["text"]]
+        yield pa.RecordBatch.from_arrays([b["row_no"], pa.array(found, pa.binary())], names=["id", "shingles"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs whose shingle sets reach the similarity."""
+    import numpy as np
+
+    for b in batches:
+        keep = []
+        for x, y in zip(b["x"], b["y"]):
+            x, y = (np.frombuffer(z.as_py(), dtype="<u8") for z in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= similarity * (len(x) + len(y) - both))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row_no, doc_id, component) for every row of docs (doc_id, text): equal components are near duplicates.
+
+    Two texts link if the Jaccard similarity of their sets of word shingles is `similarity` or more; texts with the
+    same words always do, and texts without words are one group. Fingerprints of 64 bits are about 10 bits apart at
+    0.8, too far for shared blocks, so buckets come from min-wise samples of the shingles (a pair at 0.8 shares one
+    of the 16 with probability 0.99999). In a bucket, pivot distance tables discard pairs by their largest
+    coordinate difference, then the fingerprints' own distance, and survivors are verified on whole shingle sets.
+
+    Copies are one row before buckets form. A bucket of up to PAIRED rows compares all pairs; in a larger one every
+    row is compared with two members chosen anew for each bucket, so a group of any size takes work in proportion
+    to its rows. The second part of the buckets only takes pairs that the first hasn't already connected.
+    """
+    tune(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    seen = written(rows.mapInArrow(lambda it: _features(it, words), "row_no long, doc_id long, d1 long, d2 long, fp long, bands array<long>"))
+    distinct = written(seen.groupBy("d1", "d2").agg(F.min("row_no").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    fp = F.col("fp")
+    spread = distinct.select("id", "fp", _pivot_table(fp, PIVOTS[:8]).alias("p"), _pivot_table(fp, PIVOTS[8:]).alias("q"), F.posexplode("bands").alias("band", "key"))
+    salted = F.struct(F.xxhash64("key", "id").alias("s"), "id", "fp", "p", "q")
+    sizes = spread.groupBy("key").agg(F.count("*").alias("n"), F.min(salted).alias("one"), F.max(salted).alias("two")).where("n > 1")
+    met = written(spread.join(sizes, "key"))
+
+    def near(x: str, y: str) -> Column:
+        cells = [F.abs(F.shiftright(F.col(f"{x}.{c}"), 7 * i).bitwiseAND(F.lit(127)) - F.shiftright(F.col(f"{y}.{c}"), 7 * i).bitwiseAND(F.lit(127))) <= REACH for c in "pq" for i in range(8)]
+        return reduce(lambda a, b: a & b, cells) & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= REACH)
+
+    few = met.where(F.col("n") <= PAIRED).select("key", "band", F.struct("id", "fp", "p", "q").alias("me"))
+    pairs = few.alias("l").join(few.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.me.id") < F.col("r.me.id")) & near("l.me", "r.me"))
+    pairs = pairs.select(F.col("l.band").alias("band"), F.col("l.me.id").alias("a"), F.col("r.me.id").alias("b"))
+    many = met.where(F.col("n") > PAIRED).select("band", F.struct("id", "fp", "p", "q").alias("me"), F.explode(F.array("one", "two")).alias("rep"))
+    stars = many.where((F.col("me.id") != F.col("rep.id")) & near("me", "rep")).select("band", F.least("me.id", "rep.id").alias("a"), F.greatest("me.id", "rep.id").alias("b"))
+    pairs = written(pairs.unionByName(stars).groupBy("a", "b").agg(F.min("band").alias("band")))
+
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    sets = written(rows.join(wanted, F.col("row_no") == F.col("id"), "left_semi").select("row_no", "text").mapInArrow(lambda it: _sets(it, words), "id long, shingles binary"))
+
+    links = None
+    for first, last in ((0, BANDS // 4), (BANDS // 4, BANDS)):
+        todo = pairs.where((F.col("band") >= first) & (F.col("band") < last))
+        if links is not None:
+            known = components(links)
+            l, r = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+            todo = todo.join(l, "a", "left").join(r, "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
+        sided = todo.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        more = written(sided.select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long"))
+        links = more if links is None else links.unionByName(more)
+    groups = components(links)
+    placed = written(distinct.select("d1", "d2", "id").join(groups, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component")))
+    return seen.join(placed, ["d1", "d2"]).select("row_no", "doc_id", "component")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row left of each group of similar_groups(): the smallest doc_id, then the earliest row."""
+    found = similar_groups(docs, words, similarity)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")
     kept = found.groupBy("component").agg(F.min(order).alias("kept")).select("kept.row_no")
     rows = docs.withColumn("_row_no", F.monotonically_increasing_id())
