@@ -217,6 +217,14 @@ def template_fields(template: str) -> list[tuple[str, str | None, str]]:
     return out
 
 
+def _formatted(c: Column, spec: str, as_number: bool) -> Column:
+    @F.pandas_udf("string")
+    def one(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if pd.isna(x) else format(int(x) if as_number else x, spec))
+
+    return one(c)
+
+
 def render(template: str, fields: Mapping[str, Column], numeric: Sequence[str] = ("number", "block")) -> Column:
     """A template as one string column: plain and zero-padded fields as expressions, other formats in Arrow batches."""
     pieces: list[Column] = []
@@ -238,10 +246,5 @@ def render(template: str, fields: Mapping[str, Column], numeric: Sequence[str] =
                 format(1 if as_number else "x", spec)
             except ValueError as e:
                 raise ExtractionError(f"invalid format {spec!r} in {template!r}") from e
-
-            @F.pandas_udf("string")
-            def other(s: pd.Series, spec: str = spec, as_number: bool = as_number) -> pd.Series:
-                return s.map(lambda x: None if pd.isna(x) else format(int(x) if as_number else x, spec))
-
-            pieces.append(other(c.cast("long") if as_number else c.cast("string")))
+            pieces.append(_formatted(c.cast("long") if as_number else c.cast("string"), spec, as_number))
     return F.concat(*pieces) if pieces else F.lit("")
