@@ -19,8 +19,17 @@ CHI = 25.0  # least chi-square of a term with the label
 SUPPORT = 5  # least number of sampled documents with a term
 NEAREST = 15
 BLOCK = 128  # examples of a block
+FIRST = 4  # blocks scored before any is passed over
 WORD = re.compile(r"[^\W\d_]+").findall
-WORDS_CACHED = 300_000
+
+
+def words_of(text: str | None) -> Iterator[str]:
+    """Lower-case runs of letters; the pattern only sees what white space alone doesn't part into letters."""
+    for w in (text or "").lower().split():
+        if w.isalpha():
+            yield w
+        else:
+            yield from WORD(w)
 
 
 def terms_of(word: str) -> list[str]:
@@ -29,7 +38,7 @@ def terms_of(word: str) -> list[str]:
 
 
 def word_counts(text: str | None) -> Counter:
-    return Counter(WORD((text or "").lower()))
+    return Counter(words_of(text))
 
 
 def _associations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,24 +62,20 @@ def _association_rows(yes: Counter, no: Counter) -> pa.RecordBatch:
 
 
 class Vocabulary:
-    """Maps words to indexed terms, keeping a bounded cache."""
+    """Maps words to indexed terms. Few words share the first letters of any term, so most cost one look-up."""
 
     def __init__(self, terms: list[str]) -> None:
         self.at = {t: i for i, t in enumerate(terms)}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.heads = {t.rstrip("*")[:4] for t in terms}
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        words = WORD((text or "").lower())
-        cache = self.cache
-        for w in words:
-            ids = cache.get(w)
-            if ids is None:
-                if len(cache) > WORDS_CACHED:
-                    cache.clear()
-                ids = cache[w] = tuple(self.at[t] for t in terms_of(w) if t in self.at)
-            for i in ids:
-                out[i] = out.get(i, 0) + 1
+        at, heads = self.at, self.heads
+        for w in words_of(text):
+            if w[:4] in heads:
+                for t in terms_of(w):
+                    if (i := at.get(t)) is not None:
+                        out[i] = out.get(i, 0) + 1
         return out
 
 
@@ -106,15 +111,17 @@ class Index:
         self.docs = np.array([r[0] for r in rows], dtype=np.int64)
         self.toxic = np.array([r[1] for r in rows], dtype=float)
         self.blocks = -(-len(rows) // BLOCK)
-        self.top = np.zeros((len(terms), self.blocks))
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for i, (_, _, at, w) in enumerate(rows):
-            for t, x in zip(at, w.tolist()):
-                lists[t].append((i, x))
-                self.top[t, i // BLOCK] = max(self.top[t, i // BLOCK], x)
-        self.places = [np.array([i for i, _ in p], dtype=np.int64) for p in lists]
-        self.weights = [np.array([x for _, x in p]) for p in lists]
-        self.bounds = [np.searchsorted(p, np.arange(self.blocks + 1) * BLOCK) for p in self.places]
+        # postings by block, then term; starts[b, t] is where term t begins in block b
+        term = np.concatenate([r[2] for r in rows]).astype(np.int64) if rows else np.empty(0, dtype=np.int64)
+        weight = np.concatenate([r[3] for r in rows]) if rows else np.empty(0)
+        doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        cell = (doc // BLOCK) * len(terms) + term
+        order = np.lexsort((doc, cell))
+        self.places, self.weights = doc[order], weight[order]
+        self.starts = np.searchsorted(cell[order], np.arange(self.blocks * len(terms) + 1))
+        self.top = np.zeros(self.blocks * len(terms))
+        np.maximum.at(self.top, cell, weight)
+        self.top = self.top.reshape(self.blocks, len(terms))
         zero = [toxic for _, toxic, at, _ in examples if not at]
         self.none = (sum(zero) + 0.5) / (len(zero) + 1)  # documents with no indexed term
         self.slope, self.shift = self.calibrated(rows)
@@ -123,34 +130,41 @@ class Index:
         v = (1 + self.np.log(self.np.array(n, dtype=float))) * self.idf[self.np.array(at, dtype=int)]
         return v / self.np.sqrt(v @ v)
 
+    def sums(self, blocks, at, q):
+        """Cosines of the examples in some blocks, from the postings of the query's terms in these blocks."""
+        np = self.np
+        cells = (blocks[:, None] * len(self.terms) + at).ravel()
+        start = self.starts[cells]
+        n = self.starts[cells + 1] - start
+        i = np.arange(int(n.sum())) + np.repeat(start - np.cumsum(n) + n, n)
+        return np.bincount(self.places[i], weights=self.weights[i] * np.repeat(np.tile(q, len(blocks)), n), minlength=len(self.docs))
+
     def nearest(self, at: list[int], q, k: int, skip: int = -1) -> tuple[list[int], list[float]]:
-        """The k examples of the largest cosine, ties to the smaller doc_id. Blocks are scored in order of their
-        upper bounds until no bound can reach the k-th cosine found."""
+        """The k examples of the largest cosine, ties to the smaller doc_id. The blocks with the largest upper bounds
+        are scored first, then those whose bound can still reach the k-th cosine found; the others are passed over."""
         np = self.np
         if not self.blocks:
             return [], []
-        bound = q @ self.top[at]
+        at = np.array(at)
+        bound = self.top[:, at] @ q
         order = np.argsort(-bound, kind="stable")
-        ids, sims, least = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or (len(ids) >= k and bound[b] < least - 1e-12):
-                break
-            start = b * BLOCK
-            s = np.zeros(min(BLOCK, len(self.docs) - start))
-            for t, x in zip(at, q):
-                lo, hi = self.bounds[t][b], self.bounds[t][b + 1]
-                s[self.places[t][lo:hi] - start] += x * self.weights[t][lo:hi]
-            if start <= skip < start + len(s):
-                s[skip - start] = 0
-            hit = np.flatnonzero(s > max(0.0, least - 1e-12))
-            ids, sims = np.concatenate([ids, hit + start]), np.concatenate([sims, s[hit]])
-            if len(ids) > k:
-                keep = np.lexsort((self.docs[ids], -np.round(sims, 12)))[:k]
-                ids, sims = ids[keep], sims[keep]
-            if len(ids) >= k:
-                least = float(sims.min())
-        keep = np.lexsort((self.docs[ids], -np.round(sims, 12)))
-        return ids[keep].tolist(), sims[keep].tolist()
+        order = order[bound[order] > 0]
+        s = self.sums(order[:FIRST], at, q)
+        if skip >= 0:
+            s[skip] = 0
+        best = s[s > 0]
+        least = np.partition(best, -k)[-k] if len(best) >= k else 0.0
+        rest = order[FIRST:]
+        rest = rest[bound[rest] >= least - 1e-12]
+        if len(rest):
+            s += self.sums(rest, at, q)
+            if skip >= 0:
+                s[skip] = 0
+            best = s[s > 0]
+            least = np.partition(best, -k)[-k] if len(best) >= k else 0.0
+        ids = np.flatnonzero((s > 0) & (s >= least - 1e-12))
+        keep = ids[np.lexsort((self.docs[ids], -np.round(s[ids], 12)))[:k]]
+        return keep.tolist(), s[keep].tolist()
 
     def vote(self, ids: list[int], sims: list[float]) -> float:
         """Share of toxic examples, each weighted by the inverse of its distance, with a little of the rate of
