@@ -1,21 +1,14 @@
-"""Shared plumbing of the corpus operators: durable intermediate tables, session set-up, reading."""
+"""Shared plumbing of the corpus operators: session set-up, broadcasts, reading."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import textloom
-
-# Functions sent to executors travel by value, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(textloom)
+from textloom.storage import shared_dir, written
 
-_written: list[tuple[SparkSession, str]] = []
+__all__ = ["Sent", "parallelism", "shared_dir", "table", "text_bytes", "tune", "written"]
 
 
 def tune(spark: SparkSession) -> None:
@@ -24,51 +17,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the setting is missing, a local session gets a folder of its own; any other master is an error,
-    because executors on other machines could not read it.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="textloom-")
-        spark.sparkContext.setCheckpointDir(at)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def written(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
-    """df, computed once, written as Parquet in the shared folder and read back.
-
-    Lineage ends at the table, so a lost executor costs only the tasks it was running.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/textloom/{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    if rows_per_file:
-        out = out.option("maxRecordsPerFile", rows_per_file)
-    out.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.sessionState().newHadoopConf()).delete(p, True)
-        except Exception:  # the session has ended already
-            return
-
-
 class Sent:
     """A broadcast of any object, its classes included, so that executors need not import this package."""
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sent, tune
+from .common import Sent, tune, written
 
 MIN_BYTES = 16  # shorter items are no evidence
 BUDGET = 0.08  # edits allowed, as a share of an item's bytes
@@ -145,8 +145,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET)
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """docs without the rows that hold a benchmark item; all columns kept."""
-    from .common import written
-
-    bad = written(contaminated(docs, benchmark, budget).select("row_no").distinct())
-    rows = docs.withColumn("_row_no", F.monotonically_increasing_id())
-    return rows.join(bad, F.col("_row_no") == F.col("row_no"), "left_anti").drop("_row_no")
+    bad = written(contaminated(docs, benchmark, budget).select(F.col("row_no").alias("_textloom_row")).distinct())
+    rows = docs.withColumn("_textloom_row", F.monotonically_increasing_id())
+    return rows.join(bad, "_textloom_row", "left_anti").select(*docs.columns)

@@ -223,6 +223,6 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     """docs with one row left of each group of similar_groups(): the smallest doc_id, then the earliest row."""
     found = similar_groups(docs, words, similarity)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")
-    kept = found.groupBy("component").agg(F.min(order).alias("kept")).select("kept.row_no")
-    rows = docs.withColumn("_row_no", F.monotonically_increasing_id())
-    return rows.join(written(kept), F.col("_row_no") == F.col("row_no"), "left_semi").drop("_row_no")
+    kept = found.groupBy("component").agg(F.min(order).alias("kept")).select(F.col("kept.row_no").alias("_textloom_row"))
+    rows = docs.withColumn("_textloom_row", F.monotonically_increasing_id())
+    return rows.join(written(kept), "_textloom_row", "left_semi").select(*docs.columns)
