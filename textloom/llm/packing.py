@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -160,36 +161,42 @@ class Plan:
         return out
 
 
-def ids_of(texts: list[str], tokenizer, cache: dict[str, bytes], kind: str) -> list[bytes]:
-    """Little-endian ids of each text. White space always parts this tokenizer's words, so what stands between it is
-    encoded once and looked up after that. Words of Latin letters go to the merge model directly, which skips the
-    normaliser's cost; everything else takes the tokenizer's own way."""
-    import numpy as np
+class Ids(dict):
+    """Ids of what stands between white space, as little-endian bytes, each encoded when it is first looked up.
+
+    White space always parts this tokenizer's words. Words of Latin letters go to the merge model directly, which
+    skips the normaliser's cost; everything else takes the tokenizer's own way.
+    """
+
+    def __init__(self, tokenizer, kind: str) -> None:
+        super().__init__()
+        self.tokenizer, self.code = tokenizer, "H" if kind == "<u2" else "I"
+        self.stops = {c: self.encoded(c) for c in ".,"}
+
+    def encoded(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    stops = {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, dtype=kind).tobytes() for c in ".,"}
-    stems: dict[str, bytes] = {}
-    parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    words = set().union(*parts)
-    missing = list(words - cache.keys())
-    if len(cache) + len(missing) > CACHE:
-        cache.clear()
-        missing = list(words)
-    rest = []
-    for w in missing:
+    def __missing__(self, w: str) -> bytes:
         stem = w[:-1] if w[-1:] in (".", ",") else w
-        if LATIN(stem):
-            low = stem.lower()
-            if low not in stems:
-                ids = [t.id for t in tokenizer.model.tokenize(low if low.isascii() else "".join([BYTE_LETTERS[c] for c in low.encode()]))]
-                stems[low] = np.array(ids, dtype=kind).tobytes()
-            cache[w] = stems[low] + (stops[w[-1]] if stem is not w else b"")
+        if not LATIN(stem):
+            out = self.encoded(w)
         else:
-            rest.append(w)
-    for i in range(0, len(rest), 20_000):
-        some = rest[i : i + 20_000]
-        for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, dtype=kind).tobytes()
-    return [b"".join([cache[w] for w in p]) for p in parts]
+            low = stem.lower()  # the same word to the tokenizer, so both share an entry
+            ids = self.get(low)
+            if ids is None:
+                found = self.tokenizer.model.tokenize(low if low.isascii() else "".join([BYTE_LETTERS[c] for c in low.encode()]))
+                ids = self[low] = array(self.code, [t.id for t in found]).tobytes()
+            out = ids if stem is w else ids + self.stops[w[-1]]
+        self[w] = out
+        return out
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for t in texts:
+            if len(self) > CACHE:
+                self.clear()
+            out.append(b"".join(map(self.__getitem__, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
+        return out
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], model, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -204,13 +211,13 @@ def _tokens(batches: Iterator[pa.RecordBatch], model, capacity: int) -> Iterator
 
     tok = Tokenizer.from_str(model.value)
     kind = "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
-    part, ranks, fulls, cache = TaskContext.get().partitionId(), [0] * capacity, 0, {}
+    part, ranks, fulls, known = TaskContext.get().partitionId(), [0] * capacity, 0, Ids(tok, kind)
     end = np.array([END], dtype=kind).tobytes()
     types = [("doc_id", pa.int64()), ("part", pa.int32()), ("tokens", pa.int64()), ("tail", pa.int32()), ("rank", pa.int64()), ("full_before", pa.int64()), ("full_crc", pa.list_(pa.int64())), ("ids", pa.binary())]
     for b in batches:
         texts = [t or "" for t in b["text"].to_pylist()]
         out: list[list] = [[] for _ in types]
-        for doc_id, raw in zip(b["doc_id"].to_pylist(), ids_of(texts, tok, cache, kind)):
+        for doc_id, raw in zip(b["doc_id"].to_pylist(), known.of(texts)):
             ids = np.frombuffer(raw + end, dtype=kind).astype("<u4")
             n, tail = len(ids), len(ids) % capacity
             full = [zlib.crc32(ids[i : i + capacity]) for i in range(0, n - tail, capacity)]
