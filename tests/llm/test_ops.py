@@ -188,6 +188,24 @@ def test_similar_groups_like_brute_force(spark):
     assert M.keep_one(docs_of(spark, [])).count() == 0
 
 
+def test_similar_groups_finds_pairs_under_a_shared_template(spark):
+    from textloom.llm import simhash as M
+
+    template, rows = [f"t{i}" for i in range(259)], []
+    for i in range(200):  # pairs at 0.8 to 0.85, texts of different pairs at 0.74
+        shared = [f"p{i}x{k}" for k in range(12 + i % 9)]
+        for side in "ab":
+            rows.append((2 * i + (side == "b"), " ".join(template + shared + [f"{side}{i}x{k}" for k in range(45 - len(shared))])))
+    sets = [frozenset(M.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    at = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in ((0, 2), *((2 * i, 2 * i + 1) for i in range(200)))]
+    assert 0.7 < at[0] < 0.76 and 0.8 <= min(at[1:]) and max(at[1:]) <= 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in M.keep_one(docs).collect()) == [2 * i for i in range(200)]
+    for rest, side in ((3, 5), (64, 64)):  # blocks smaller than a bucket, and shingles common and rare, give the same overlaps
+        both, _ = M._overlaps([M.shingle_hashes(t, 5) for _, t in rows[:rest]], [M.shingle_hashes(t, 5) for _, t in rows[1 : 1 + side]])
+        assert both.tolist() == [[len(x & y) for y in sets[1 : 1 + side]] for x in sets[:rest]]
+
+
 def test_op6_round_trip(spark):
     import numpy as np
     import public_tokenizers

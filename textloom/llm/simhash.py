@@ -106,7 +106,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
 
 BANDS, ROWS = 16, 3  # buckets of a text, and min-wise samples that one bucket takes together
 REACH = 24  # bits by which 64-bit fingerprints of texts at similarity 0.8 differ at most (10 expected, deviation 3)
-PAIRED = 8  # rows up to which a bucket compares all its pairs
+PAIRED = 8  # rows up to which a bucket compares all its pairs at once
+SIDE_ROWS, SIDE_SHINGLES = 1024, 1 << 20  # what one side of a block of a larger bucket holds, about
 BROADCAST_ROWS = 200_000
 
 
@@ -123,7 +124,7 @@ def shingle_hashes(text: str | None, words: int):
 
 
 def _features(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Hash of the word sequence, fingerprint and bucket keys of each text."""
+    """Hash of the word sequence, fingerprint, number of shingles and bucket keys of each text."""
     import numpy as np
     import xxhash
 
@@ -140,10 +141,10 @@ def _features(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
                 counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             fp = int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
             keys = [xxhash.xxh3_64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
-            out.append(((both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63), fp, keys))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            out.append(((both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63), fp, len(h), keys))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays(
-            [b["row_no"], b["doc_id"], *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=["row_no", "doc_id", "d1", "d2", "fp", "bands"]
+            [b["row_no"], b["doc_id"], *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=["row_no", "doc_id", "d1", "d2", "fp", "size", "bands"]
         )
 
 
@@ -166,6 +167,61 @@ def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _overlaps(left: list, right: list):
+    """Numbers of shingles that each set of one list shares with each set of another."""
+    import numpy as np
+
+    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in (left, right)]
+    tokens, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cut, cells = int(sizes[0].sum()), len(left) * len(right)
+    lt, rt = at[:cut], at[cut:]
+    lrow, rrow = (np.repeat(np.arange(len(n)), n) for n in sizes)
+    ln, rn = (np.bincount(t, minlength=len(tokens)) for t in (lt, rt))
+    order = np.argsort(rt, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(rn)])
+    out = np.zeros(cells, dtype=np.int64)
+    use = np.flatnonzero((rn[lt] > 0) & (ln[lt] * rn[lt] <= 64))  # rare shingles: one by one
+    n = rn[lt[use]]
+    i = np.arange(int(n.sum())) + np.repeat(starts[lt[use]] - np.cumsum(n) + n, n)
+    out += np.bincount(np.repeat(lrow[use], n) * len(right) + rrow[order[i]], minlength=cells)
+    out = out.reshape(len(left), len(right))
+    often = np.flatnonzero(ln * rn > 64)  # frequent ones: products of 0/1 matrices, exact below 2 ** 24
+    for base in range(0, len(often), 2048):
+        place = np.full(len(tokens), -1)
+        place[often[base : base + 2048]] = np.arange(len(often[base : base + 2048]))
+        x, y = np.zeros((len(left), 2048), dtype=np.float32), np.zeros((len(right), 2048), dtype=np.float32)
+        for m, row, t in ((x, lrow, place[lt]), (y, rrow, place[rt])):
+            m[row[t >= 0], t[t >= 0]] = 1
+        out += (x @ y.T).astype(np.int64)
+    return out, sizes
+
+
+def _block_links(rows: pa.Table, similarity: float) -> pa.Table:
+    """Links (a, b) between the two sides of a block that connect what all its similar pairs connect."""
+    import numpy as np
+
+    flags = rows["rest"].to_numpy(zero_copy_only=False).astype(bool)
+    ids, comp = rows["id"].to_numpy(), rows["component"].to_numpy()
+    sets = [np.frombuffer(x.as_py(), dtype="<u8") for x in rows["shingles"]]
+    l, r = np.flatnonzero(flags), np.flatnonzero(~flags)
+    found = []
+    if len(l) and len(r):
+        both, (ln, rn) = _overlaps([sets[i] for i in l], [sets[i] for i in r])
+        alike = (both >= similarity * (ln[:, None] + rn[None, :] - both)) & (comp[l][:, None] != comp[r][None, :])
+        fresh = [np.ones(len(l), dtype=bool), np.ones(len(r), dtype=bool)]
+        for x in np.flatnonzero(alike.any(axis=1)).tolist():
+            todo = [(0, x)] if fresh[0][x] else []
+            fresh[0][x] = False
+            while todo:  # a tree of links: each row is reached once
+                side, k = todo.pop()
+                near = np.flatnonzero((alike[:, k] if side else alike[k]) & fresh[1 - side])
+                fresh[1 - side][near] = False
+                for m in near.tolist():
+                    found.append((ids[l[m]], ids[r[k]]) if side else (ids[l[k]], ids[r[m]]))
+                    todo.append((1 - side, m))
+    return pa.table({"a": pa.array([int(x) for x, _ in found], pa.int64()), "b": pa.array([int(y) for _, y in found], pa.int64())})
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row_no, doc_id, component) for every row of docs (doc_id, text): equal components are near duplicates.
 
@@ -176,15 +232,17 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     coordinate difference, then the fingerprints' own distance, and survivors are verified on whole shingle sets.
 
     Copies are one row before buckets form. A bucket of up to PAIRED rows compares all pairs; in a larger one every
-    row is compared with two members chosen anew for each bucket, so a group of any size takes work in proportion
-    to its rows. The second part of the buckets only takes pairs that the first hasn't already connected.
+    row is first compared with two members chosen anew for each bucket. The second part of the buckets only takes
+    pairs that the first hasn't already connected. Rows of a larger bucket that are still in different groups are then
+    all compared on whole shingle sets, without the fingerprint cut. A bucket that is one group by then takes work in
+    proportion to its rows; one of rows that stay apart takes a comparison for each pair of them.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = written(rows.mapInArrow(lambda it: _features(it, words), "row_no long, doc_id long, d1 long, d2 long, fp long, bands array<long>"))
-    distinct = written(seen.groupBy("d1", "d2").agg(F.min("row_no").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    seen = written(rows.mapInArrow(lambda it: _features(it, words), "row_no long, doc_id long, d1 long, d2 long, fp long, size long, bands array<long>"))
+    distinct = written(seen.groupBy("d1", "d2").agg(F.min("row_no").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     fp = F.col("fp")
-    spread = distinct.select("id", "fp", _pivot_table(fp, PIVOTS[:8]).alias("p"), _pivot_table(fp, PIVOTS[8:]).alias("q"), F.posexplode("bands").alias("band", "key"))
+    spread = distinct.select("id", "fp", "size", _pivot_table(fp, PIVOTS[:8]).alias("p"), _pivot_table(fp, PIVOTS[8:]).alias("q"), F.posexplode("bands").alias("band", "key"))
     salted = F.struct(F.xxhash64("key", "id").alias("s"), "id", "fp", "p", "q")
     sizes = spread.groupBy("key").agg(F.count("*").alias("n"), F.min(salted).alias("one"), F.max(salted).alias("two")).where("n > 1")
     met = written(spread.join(sizes, "key"))
@@ -215,10 +273,46 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         more = written(sided.select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long"))
         links = more if links is None else links.unionByName(more)
     groups = components(links)
+    more = _rest_links(rows, met.where(F.col("n") > PAIRED).select("key", "id", "size"), groups, words, similarity)
+    if more is not None:
+        groups = components(links.unionByName(more))
     placed = written(distinct.select("d1", "d2", "id").join(groups, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component")))
     return seen.join(placed, ["d1", "d2"]).select("row_no", "doc_id", "component")
 
 
+def _rest_links(rows: DataFrame, hot: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame | None:
+    """Links between rows that share a bucket of `hot` (key, id, size) and are in different groups so far.
+
+    Rows outside a bucket's largest group are compared with all its rows on whole shingle sets; both sides are dealt
+    in blocks of bounded size, so a bucket spreads over tasks. Buckets of one group need no work.
+    """
+    known = groups.select(F.col("node").alias("id"), "component")
+    hot = written(hot.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    parts = hot.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    by_key = parts.groupBy("key").agg(F.max(F.struct("n", "size", "component")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    by_key = by_key.where("n > most.n")
+
+    def sides(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / SIDE_ROWS, size / SIDE_SHINGLES)).cast("long")
+
+    cuts = by_key.select("key", F.col("most.component").alias("top"), sides(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("l"), sides(F.col("n"), F.col("size")).alias("r"))
+    met = written(hot.join(cuts, "key"))
+    ids = written(met.select("id").distinct())
+    if not ids.limit(1).count():
+        return None
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    sets = written(rows.join(wanted, F.col("row_no") == F.col("id"), "left_semi").select("row_no", "text").mapInArrow(lambda it: _sets(it, words), "id long, shingles binary"))
+
+    def dealt(some: DataFrame, rest: bool) -> DataFrame:
+        own, others = ("l", "r") if rest else ("r", "l")
+        at = F.pmod(F.xxhash64("id", "key"), F.greatest(F.col(own), F.lit(1))).alias(own)
+        return some.select("key", "id", "component", F.lit(rest).alias("rest"), at, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(others), F.lit(1)) - 1)).alias(others))
+
+    blocks = dealt(met.where("component <> top"), True).unionByName(dealt(met, False))
+    full = blocks.join(sets, "id").select("key", "l", "r", "id", "component", "rest", "shingles")
+    return written(full.groupBy("key", "l", "r").applyInArrow(lambda t: _block_links(t, similarity), "a long, b long").distinct())
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row left of each group of similar_groups(): the smallest doc_id, then the earliest row."""
     found = similar_groups(docs, words, similarity)
