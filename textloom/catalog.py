@@ -193,7 +193,7 @@ def rules_first_match(spark, sf_dir):
 
 @query(f"with {_DL} select doc_id, seq, text from dl where not (seq = 0 and lang = 'en') and doc_id % 2 = 0")
 def skip_source(spark, sf_dir):
-    d = _lines(spark, sf_dir).withColumn("locator", F.concat("lang", F.lit("#"), F.col("seq").cast("string"))).where("doc_id % 2 = 0")
+    d = _lines(spark, sf_dir).withColumn("locator", F.concat("lang", F.lit("#"), F.col("seq").cast("string")))
     return R.skip(d, ["en#0"]).select("doc_id", "seq", "text")
 
 
