@@ -80,7 +80,7 @@ def test_op2_recall_and_odd_vectors(spark):
     assert nearest(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_op3_exact_neighbours_and_accuracy(spark):
+def test_op3_exact_neighbours_and_accuracy(spark, monkeypatch):
     import numpy as np
 
     from textloom.llm import toxicity as M
@@ -91,16 +91,35 @@ def test_op3_exact_neighbours_and_accuracy(spark):
     index = M.fit(docs, labels, F.lit(True))
     found = M.score(docs_of(spark, ODD), index).collect()
     assert len(found) == len(ODD) and all(0 <= r["score"] <= 1 for r in found)
-    rng = np.random.default_rng(0)
-    dense = np.zeros((len(index.docs), max(1, len(index.terms))))
-    cell = np.repeat(np.arange(index.blocks * len(index.terms)), np.diff(index.starts))
-    dense[index.places, cell % max(1, len(index.terms))] = index.weights
-    for _ in range(20 if index.terms else 0):
-        at = sorted(rng.choice(len(index.terms), size=min(4, len(index.terms)), replace=False).tolist())
-        q = index.weigh(at, [1] * len(at))
-        sims = dense[:, at] @ q
-        want = [i for i in sorted(range(len(sims)), key=lambda i: (-round(sims[i], 12), index.docs[i])) if sims[i] > 0][:5]
-        assert index.nearest(at, q, 5)[0] == want
+    learned = labels.where("toxic is not null").join(docs, "doc_id").select("doc_id").distinct().count()
+    assert len(index.docs) + docs.join(labels, "doc_id").where("length(trim(coalesce(text, ''))) = 0").count() >= min(learned, M.SAMPLE)  # no example is left out
+    dense, ends = np.zeros((len(index.docs), len(index.terms))), index.ends
+    for i in range(len(index.docs)):
+        dense[i, index.term[ends[i] : ends[i + 1]]] = index.weight[ends[i] : ends[i + 1]]
+    known, texts = index.known(), [r["text"] for r in docs.collect()] + [t for _, t in ODD] + ["a-b idiot,stupid", "zzzz"]
+    for first, block, often in ((M.FIRST, M.BLOCK, M.FREQUENT), (1, 4, 10), (1, 7, 0)):
+        monkeypatch.setattr(M, "FIRST", first), monkeypatch.setattr(M, "BLOCK", block), monkeypatch.setattr(M, "FREQUENT", often)
+        index.__dict__.pop("place", None)
+        doc, term, n = known.counts(texts)
+        for i, got in enumerate(index.nearest(doc, term, n, len(texts), 5)):
+            q = np.zeros(len(index.terms))
+            if (doc == i).any():
+                q[term[doc == i]] = index.weigh(term[doc == i], n[doc == i])
+            sims = dense @ q
+            want = [j for j in sorted(range(len(sims)), key=lambda j: (-round(sims[j], 12), index.docs[j])) if sims[j] > 0][:5]
+            assert got[0] == want and np.allclose(got[1], sims[want])
+    monkeypatch.undo()
+    index.__dict__.pop("place")
+    plain = Counter(t for w in re.findall(r"[^\W\d_]+", texts[0].lower()) for t in M.terms_of(w))
+    assert {index.terms[t]: k for d, t, k in zip(doc.tolist(), term.tolist(), n.tolist()) if d == 0} == {t: k for t, k in plain.items() if t in index.terms}
+    some = spark.createDataFrame([(t, i) for i, t in enumerate(index.terms)], "term string, number int")
+    df = dict(M.document_frequencies(docs.select("text"), some).collect())
+    want = Counter(t for r in docs.collect() for t in M.Terms().of(r["text"]))
+    assert df.pop(-1) == docs.count() and sum(df.get(i, 0) != want[t] for i, t in enumerate(index.terms)) == 0
+    w = M.term_weights([3, 50, 50], 100, [10, 5, 0], [0, 45, 50], 10, 90)
+    assert w[0] > 2 * w[1] and (w > 0).all()
+    spread = M.score(docs.withColumn("doc_id", F.col("doc_id")), index).where("size(evidence) > 0").count() / docs.count()
+    assert spread > 0.95  # texts with a known word have neighbours
     empty = M.fit(docs.limit(0), labels.limit(0), F.lit(True))
     assert {r["score"] for r in M.score(docs_of(spark, ODD), empty).collect()} == {0.5}
     rows = op3_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()

@@ -25,7 +25,10 @@ class Sent:
 
     @property
     def value(self):
-        return cloudpickle.loads(self.data.value)
+        """The object; a worker that runs several tasks unpacks it once."""
+        if not hasattr(self.data, "_unpacked"):
+            self.data._unpacked = cloudpickle.loads(self.data.value)
+        return self.data._unpacked
 
 
 def parallelism(spark: SparkSession) -> int:

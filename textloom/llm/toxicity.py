@@ -1,54 +1,100 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+All words of all sampled examples are indexed, so any text with a known word has neighbours, votes and evidence.
+"""
 
 from __future__ import annotations
 
 import math
-import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Sent, tune, written
 
-SAMPLE = 12_000  # labelled documents that examples and terms are taken from
-TERMS = 4096  # terms of the index
-CHI = 25.0  # least chi-square of a term with the label
-SUPPORT = 5  # least number of sampled documents with a term
+SAMPLE = 2000  # labelled documents that the index holds
 NEAREST = 15
-BLOCK = 128  # examples of a block
-FIRST = 4  # blocks scored before any is passed over
-WORD = re.compile(r"[^\W\d_]+").findall
+BLOCK = 256  # examples of a block
+FIRST = 2  # blocks scored before any is passed over
+FREQUENT = 1024  # terms whose postings lie side by side
+BATCH = 256  # texts scored together
+SURE = 4.0  # deviations from chance beyond which a term's association with the label adds to its weight
+CACHE = 400_000  # tokens whose terms a worker keeps
+SHORT, LONG = 4, 6  # letters of the two beginnings that stand for a word
+WORD = regex.compile(r"\p{L}+").findall
 
 
-def words_of(text: str | None) -> Iterator[str]:
-    """Lower-case runs of letters; the pattern only sees what white space alone doesn't part into letters."""
-    for w in (text or "").lower().split():
-        if w.isalpha():
-            yield w
-        else:
-            yield from WORD(w)
+def terms_of(word: str) -> tuple[str, ...]:
+    """The beginnings of SHORT and LONG letters, which inflected forms share; a short word is one term."""
+    return (word[:LONG],) if len(word) <= SHORT else (word[:SHORT], word[:LONG])
+
+
+class Terms(dict):
+    """Terms of what stands between white space, found at first look-up."""
+
+    def __missing__(self, token: str) -> tuple:
+        found = tuple(t for w in ([token] if token.isalpha() else WORD(token)) for t in terms_of(w))
+        if len(token) <= 64 and len(self) < CACHE:
+            self[token] = found
+        return found
 
+    def of(self, text: str | None) -> set:
+        return {t for token in set((text or "").lower().split()) for t in self[token]}
 
-def terms_of(word: str) -> list[str]:
-    """A word and its beginnings of 4 to 6 letters, which inflected forms share."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n)]
 
+class Numbers(dict):
+    """Codes of what stands between white space; a code gives the numbers of the terms of its one word, 0 of none."""
 
-def word_counts(text: str | None) -> Counter:
-    return Counter(words_of(text))
+    def __init__(self, at: dict[str, int]) -> None:
+        super().__init__()
+        self.at, self.first, self.second = at, array("i", [-1]), array("i", [-1])
+
+    def __missing__(self, token: str) -> int:
+        words = [token] if token.isalpha() else WORD(token)
+        if len(words) > 1:
+            code = -1
+        else:
+            known = [self.at[t] for t in (terms_of(words[0]) if words else ()) if t in self.at]
+            code = len(self.first) if known else 0
+            if known:
+                self.first.append(known[0])
+                self.second.append(known[1] if len(known) > 1 else -1)
+        if len(token) <= 64 and len(self) < CACHE:
+            self[token] = code
+        return code
+
+    def counts(self, texts: list):
+        """(text, term, how often), sorted, over whole texts in lower case, as three arrays."""
+        import numpy as np
+
+        codes, lengths, more = [], [], []
+        for i, text in enumerate(texts):
+            tokens = (text or "").lower().split()
+            got = [self[t] for t in tokens]
+            if -1 in got:  # several words without white space between them
+                more += [(i, self.at[t]) for token, c in zip(tokens, got) if c < 0 for w in WORD(token) for t in terms_of(w) if t in self.at]
+            codes.append(np.array(got, dtype=np.int32))
+            lengths.append(len(got))
+        code, where = np.concatenate(codes) if codes else np.empty(0, dtype=np.int32), np.repeat(np.arange(len(lengths)), lengths)
+        where, code = where[code > 0], code[code > 0]
+        both = [np.array(x, dtype=np.int32)[code] for x in (self.first, self.second)]
+        extra = np.array(more, dtype=np.int64).reshape(-1, 2)
+        cell = np.concatenate([*(where[t >= 0] * len(self.at) + t[t >= 0] for t in both), extra[:, 0] * len(self.at) + extra[:, 1]])
+        cell, n = np.unique(cell, return_counts=True)
+        return cell // max(1, len(self.at)), cell % max(1, len(self.at)), n
 
 
 def _associations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sampled documents with each term, by label; term '' counts documents."""
-    yes: Counter = Counter()
-    no: Counter = Counter()
+    terms, yes, no = Terms(), Counter(), Counter()
     for b in batches:
         for toxic, text in zip(b["toxic"].to_pylist(), b["text"]):
-            found = {t for w in word_counts(text.as_py()) for t in terms_of(w)}
-            found.add("")
+            found = terms.of(text.as_py()) | {""}
             (yes if toxic else no).update(found)
             if len(yes) + len(no) > 500_000:
                 yield _association_rows(yes, no)
@@ -61,124 +107,188 @@ def _association_rows(yes: Counter, no: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([yes[t] for t in names], pa.int64()), pa.array([no[t] for t in names], pa.int64())], names=["term", "yes", "no"])
 
 
-class Vocabulary:
-    """Maps words to indexed terms. Few words share the first letters of any term, so most cost one look-up."""
+def _vectors(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    import numpy as np
 
-    def __init__(self, terms: list[str]) -> None:
-        self.at = {t: i for i, t in enumerate(terms)}
-        self.heads = {t.rstrip("*")[:4] for t in terms}
+    known = Numbers(sent.value)
+    for b in batches:
+        doc, term, n = known.counts(b["text"].to_pylist())
+        ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.num_rows))]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (term, n)]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], *lists], names=["doc_id", "toxic", "at", "n"])
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        at, heads = self.at, self.heads
-        for w in words_of(text):
-            if w[:4] in heads:
-                for t in terms_of(w):
-                    if (i := at.get(t)) is not None:
-                        out[i] = out.get(i, 0) + 1
-        return out
 
+def document_frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(number, df) of the terms (term, number) over all texts; number -1 counts the texts."""
+    low = F.lower("text")
 
-def _df(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
-    v, df, n = Vocabulary(terms), Counter(), 0
-    for b in batches:
-        for t in b["text"]:
-            n += 1
-            df.update(v.counts(t.as_py()).keys())
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *df], pa.int32()), pa.array([n, *df.values()], pa.int64())], names=["term", "df"])
+    def beginnings(n: int) -> "F.Column":
+        return F.explode(F.array_distinct(F.split(F.regexp_replace(low, rf"(\p{{L}}{{{n}}})\p{{L}}+", "$1"), r"[^\p{L}]+"))).alias("term")
 
+    found = texts.select(beginnings(SHORT)).unionByName(texts.select(beginnings(LONG)).where(F.length("term") > SHORT)).join(F.broadcast(terms), "term")
+    return found.groupBy("number").agg(F.count("*").alias("df")).unionByName(texts.select(F.lit(-1).alias("number")).groupBy("number").agg(F.count("*").alias("df")))
 
-def _vectors(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
-    v = Vocabulary(terms)
-    for b in batches:
-        got = [v.counts(t.as_py()) for t in b["text"]]
-        yield pa.RecordBatch.from_arrays(
-            [b["doc_id"], b["toxic"], pa.array([sorted(g) for g in got], pa.list_(pa.int32())), pa.array([[g[i] for i in sorted(g)] for g in got], pa.list_(pa.int32()))],
-            names=["doc_id", "toxic", "at", "n"],
-        )
+
+def term_weights(df, n: int, yes, no, toxic: int, clean: int):
+    """Weight of each term: idf over all n documents, times what its association with the label adds.
+
+    A term that stands as often in toxic as in other examples, or too seldom to tell, keeps its plain idf. Beyond SURE
+    standard deviations (the root of chi-square) the factor grows in proportion, so that two texts that share an
+    insult are nearer than two that share a topic. No term is left out.
+    """
+    import numpy as np
+
+    idf = np.log((n + 1) / (np.asarray(df, dtype=float) + 1)) + 1
+    if not toxic or not clean or not len(idf):
+        return idf
+    a, b, all_ = np.asarray(yes, dtype=float), np.asarray(no, dtype=float), float(toxic + clean)
+    rest = np.maximum(all_ - a - b, 0.5)
+    z = np.abs(a * (clean - b) - b * (toxic - a)) * np.sqrt(all_ / ((a + b) * rest * toxic * clean))
+    return idf * (1 + np.maximum(0, z - SURE))
 
 
 class Index:
-    """Block-max inverted index of labelled examples; nearest() is exact."""
+    """Block-max inverted index of labelled examples; nearest() is exact.
 
-    def __init__(self, terms: list[str], idf, examples: list[tuple[int, int, list[int], list[int]]]) -> None:
+    Queries go in batches. The FREQUENT terms of the most examples have their postings side by side, a matrix for each
+    block; all other terms have posting lists by block. Bounds of a block are its largest weight of each term.
+    """
+
+    def __init__(self, terms: list[str], weight_of, examples: list[tuple[int, int, list[int], list[int]]]) -> None:
         import numpy as np
 
-        self.np, self.terms, self.idf = np, terms, idf
-        rows = [(doc, toxic, at, self.weigh(at, n)) for doc, toxic, at, n in examples if at]
+        self.terms, self.weight_of = terms, weight_of
+        rows = [(doc, toxic, at, self.weigh(at, n), n) for doc, toxic, at, n in examples if len(at)]
         # examples with the same leading term stand together, which makes block maxima tight
         rows.sort(key=lambda r: (r[2][int(r[3].argmax())], -float(r[3].max()), r[0]))
         self.docs = np.array([r[0] for r in rows], dtype=np.int64)
         self.toxic = np.array([r[1] for r in rows], dtype=float)
-        self.blocks = -(-len(rows) // BLOCK)
-        # postings by block, then term; starts[b, t] is where term t begins in block b
-        term = np.concatenate([r[2] for r in rows]).astype(np.int64) if rows else np.empty(0, dtype=np.int64)
-        weight = np.concatenate([r[3] for r in rows]) if rows else np.empty(0)
-        doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-        cell = (doc // BLOCK) * len(terms) + term
-        order = np.lexsort((doc, cell))
-        self.places, self.weights = doc[order], weight[order]
-        self.starts = np.searchsorted(cell[order], np.arange(self.blocks * len(terms) + 1))
-        self.top = np.zeros(self.blocks * len(terms))
-        np.maximum.at(self.top, cell, weight)
-        self.top = self.top.reshape(self.blocks, len(terms))
-        zero = [toxic for _, toxic, at, _ in examples if not at]
-        self.none = (sum(zero) + 0.5) / (len(zero) + 1)  # documents with no indexed term
-        self.slope, self.shift = self.calibrated(rows)
+        self.ends = np.cumsum([0, *(len(r[2]) for r in rows)])
+        self.term = np.concatenate([r[2] for r in rows]).astype(np.int32) if rows else np.empty(0, dtype=np.int32)
+        self.weight = np.concatenate([r[3] for r in rows]) if rows else np.empty(0)
+        self.n = np.concatenate([r[4] for r in rows]).astype(np.int32) if rows else np.empty(0, dtype=np.int32)
+        zero = [toxic for _, toxic, at, _ in examples if not len(at)]
+        base = sum(toxic for _, toxic, _, _ in examples)
+        self.none = (sum(zero) + (base + 0.5) / (len(examples) + 1)) / (len(zero) + 1)  # texts without a known word: the rate of such examples, drawn to the rate of all
+        self.slope, self.shift = self.calibrated()
+
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.docs) // BLOCK)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "dense", "heads", "starts", "top", "at", "w")}
+
+    def ready(self) -> None:
+        """Lays out the postings, once in each process."""
+        import numpy as np
+
+        if hasattr(self, "place") or not self.blocks:
+            return
+        n, t = len(self.docs), len(self.terms)
+        df = np.bincount(self.term, minlength=t)
+        often = np.argsort(-df, kind="stable")[:FREQUENT]
+        self.place = np.full(t, -1, dtype=np.int32)
+        self.place[often] = np.arange(len(often))
+        doc = np.repeat(np.arange(n), np.diff(self.ends))
+        col = self.place[self.term]
+        self.dense = np.zeros((n, FREQUENT))
+        self.dense[doc[col >= 0], col[col >= 0]] = self.weight[col >= 0]
+        doc, term, weight = doc[col < 0], self.term[col < 0], self.weight[col < 0]
+        cell = (doc // BLOCK) * t + term
+        order = np.argsort(cell, kind="stable")
+        cell, self.at, self.w = cell[order], doc[order], weight[order]
+        self.starts = np.searchsorted(cell, np.arange(self.blocks * t + 1)).astype(np.int64)
+        self.top = np.zeros(self.blocks * t)
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        if len(first):
+            self.top[cell[first]] = np.maximum.reduceat(self.w, first)
+        self.top = np.ascontiguousarray(self.top.reshape(self.blocks, t).T)
+        self.heads = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=0).T
+
+    def known(self) -> Numbers:
+        return Numbers({t: i for i, t in enumerate(self.terms)})
 
     def weigh(self, at, n):
-        v = (1 + self.np.log(self.np.array(n, dtype=float))) * self.idf[self.np.array(at, dtype=int)]
-        return v / self.np.sqrt(v @ v)
-
-    def sums(self, blocks, at, q):
-        """Cosines of the examples in some blocks, from the postings of the query's terms in these blocks."""
-        np = self.np
-        cells = (blocks[:, None] * len(self.terms) + at).ravel()
-        start = self.starts[cells]
-        n = self.starts[cells + 1] - start
-        i = np.arange(int(n.sum())) + np.repeat(start - np.cumsum(n) + n, n)
-        return np.bincount(self.places[i], weights=self.weights[i] * np.repeat(np.tile(q, len(blocks)), n), minlength=len(self.docs))
-
-    def nearest(self, at: list[int], q, k: int, skip: int = -1) -> tuple[list[int], list[float]]:
-        """The k examples of the largest cosine, ties to the smaller doc_id. The blocks with the largest upper bounds
-        are scored first, then those whose bound can still reach the k-th cosine found; the others are passed over."""
-        np = self.np
-        if not self.blocks:
-            return [], []
-        at = np.array(at)
-        bound = self.top[:, at] @ q
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        s = self.sums(order[:FIRST], at, q)
-        if skip >= 0:
-            s[skip] = 0
-        best = s[s > 0]
-        least = np.partition(best, -k)[-k] if len(best) >= k else 0.0
-        rest = order[FIRST:]
-        rest = rest[bound[rest] >= least - 1e-12]
-        if len(rest):
-            s += self.sums(rest, at, q)
-            if skip >= 0:
-                s[skip] = 0
-            best = s[s > 0]
-            least = np.partition(best, -k)[-k] if len(best) >= k else 0.0
-        ids = np.flatnonzero((s > 0) & (s >= least - 1e-12))
-        keep = ids[np.lexsort((self.docs[ids], -np.round(s[ids], 12)))[:k]]
-        return keep.tolist(), s[keep].tolist()
+        import numpy as np
+
+        v = (1 + np.log(np.array(n, dtype=float))) * self.weight_of[np.array(at, dtype=int)]
+        return v / np.sqrt(v @ v)
+
+    def nearest(self, doc, term, n, count: int, k: int = NEAREST, skip=None) -> list[tuple[list[int], list[float]]]:
+        """For each of `count` queries, the k examples of the largest cosine over zero, ties to the smaller doc_id.
+
+        doc, term, n: the queries' terms, sorted. skip: an example that each query passes over. The FIRST blocks with
+        the largest upper bounds are scored first, then those whose bound can still reach the k-th cosine found.
+        """
+        import numpy as np
+
+        self.ready()
+        if not self.blocks or not count:
+            return [([], [])] * count
+        v = (1 + np.log(n)) * self.weight_of[term]
+        v = v / np.sqrt(np.bincount(doc, weights=v * v, minlength=count))[doc]
+        col = self.place[term]
+        q = np.zeros((count, FREQUENT))
+        q[doc[col >= 0], col[col >= 0]] = v[col >= 0]
+        doc, term, v = doc[col < 0], term[col < 0], v[col < 0]
+        ends = np.searchsorted(doc, np.arange(count + 1))
+        bound = q @ self.heads
+        if len(doc):
+            inside = np.flatnonzero(np.diff(ends))
+            bound[inside] += np.add.reduceat(self.top[term] * v[:, None], ends[inside], axis=0)
+        sums, todo = np.zeros((count, len(self.docs))), bound > 0
+        early = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+        now = np.zeros_like(todo)
+        np.put_along_axis(now, early, True, axis=1)
+        for last in (False, True):
+            now = todo if last else now & todo
+            for b in np.flatnonzero(now.any(axis=0)).tolist():
+                asks = np.flatnonzero(now[:, b])
+                lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.docs))
+                found = q[asks] @ self.dense[lo:hi].T
+                size = ends[asks + 1] - ends[asks]
+                i = np.arange(int(size.sum())) + np.repeat(ends[asks] - np.cumsum(size) + size, size)
+                start = self.starts[b * len(self.terms) + term[i]]
+                many = self.starts[b * len(self.terms) + term[i] + 1] - start
+                some = np.flatnonzero(many)
+                start, many = start[some], many[some]
+                j = np.arange(int(many.sum())) + np.repeat(start - np.cumsum(many) + many, many)
+                row = np.repeat(np.repeat(np.arange(len(asks)), size)[some], many)
+                found += np.bincount(row * (hi - lo) + self.at[j] - lo, weights=self.w[j] * np.repeat(v[i[some]], many), minlength=found.size).reshape(found.shape)
+                sums[asks, lo:hi] = found
+            if skip is not None:
+                sums[np.arange(count), skip] = 0
+            least = np.partition(sums, -k, axis=1)[:, -k] if k <= sums.shape[1] else np.zeros(count)
+            todo = todo & ~now & (bound >= least[:, None] - 1e-9)
+        out = []
+        for s, low in zip(sums, least):
+            ids = np.flatnonzero((s > 0) & (s >= low - 1e-12))
+            keep = ids[np.lexsort((self.docs[ids], -np.round(s[ids], 12)))[:k]]
+            out.append((keep.tolist(), s[keep].tolist()))
+        return out
 
     def vote(self, ids: list[int], sims: list[float]) -> float:
         """Share of toxic examples, each weighted by the inverse of its distance, with a little of the rate of
-        documents that have no indexed term."""
+        documents that have no known word."""
         w = [1 / (0.05 + 1 - min(s, 1.0)) for s in sims]
         return (sum(x * self.toxic[i] for x, i in zip(w, ids)) + 0.5 * self.none) / (sum(w) + 0.5)
 
-    def calibrated(self, rows) -> tuple[float, float]:
+    def calibrated(self) -> tuple[float, float]:
         """Platt scaling of votes that each example gets from the others."""
-        np = self.np
-        if not rows:
+        import numpy as np
+
+        if not self.blocks:
             return 1.0, 0.0
-        x = np.array([self.logit(self.vote(*self.nearest(r[2], r[3], NEAREST, skip=i))) for i, r in enumerate(rows)])
-        y = np.array([r[1] for r in rows], dtype=float)
+        x: list = []
+        for lo in range(0, len(self.docs), BATCH):
+            hi = min(lo + BATCH, len(self.docs))
+            some = slice(self.ends[lo], self.ends[hi])
+            doc = np.repeat(np.arange(hi - lo), np.diff(self.ends[lo : hi + 1]))
+            found = self.nearest(doc, self.term[some], self.n[some], hi - lo, skip=np.arange(lo, hi))
+            x += [self.logit(self.vote(*f)) for f in found]
+        x = np.array(x)
+        y = self.toxic
         up, down = y.sum(), len(y) - y.sum()
         target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
         a, b = 1.0, 0.0
@@ -199,27 +309,27 @@ class Index:
         p = min(max(p, 1e-6), 1 - 1e-6)
         return math.log(p / (1 - p))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """(calibrated score, doc_ids of the three nearest examples)."""
-        if not counts:
-            return self.none, []
-        at = sorted(counts)
-        ids, sims = self.nearest(at, self.weigh(at, [counts[i] for i in at]), NEAREST)
-        if not ids:
-            return self.none, []
-        z = self.slope * self.logit(self.vote(ids, sims)) + self.shift
-        return 1 / (1 + math.exp(-max(min(z, 500), -500))), [int(self.docs[i]) for i in ids[:3]]
+    def scores(self, texts: list, known: Numbers) -> list[tuple[float, list[int]]]:
+        """(calibrated score, doc_ids of the three nearest examples) of each text."""
+        out = []
+        for lo in range(0, len(texts), BATCH):
+            some = texts[lo : lo + BATCH]
+            for ids, sims in self.nearest(*known.counts(some), len(some)):
+                if not ids:
+                    out.append((self.none, []))
+                    continue
+                z = self.slope * self.logit(self.vote(ids, sims)) + self.shift
+                out.append((1 / (1 + math.exp(-max(min(z, 500), -500))), [int(self.docs[i]) for i in ids[:3]]))
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: "F.Column", sample: int = SAMPLE) -> Index:
     """Builds the index from at most `sample` labelled documents, chosen by a hash of doc_id.
 
     docs (doc_id, text), labels (doc_id, toxic); `learn` is a condition on labels.doc_id. A doc_id with several
-    labels counts as toxic if half of them do or more. Terms are those most associated with the label in the
-    sample; their document frequencies come from all documents.
+    labels counts as toxic if half of them do or more. Terms are all those of the sampled documents; their document
+    frequencies come from all documents. Without labels or documents the index is empty and scores 0.5.
     """
-    import numpy as np
-
     spark = docs.sparkSession
     tune(spark)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -227,40 +337,35 @@ def fit(docs: DataFrame, labels: DataFrame, learn: "F.Column", sample: int = SAM
     chosen = known.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(sample)
     examples = written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"))
     seen = examples.mapInArrow(_associations, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    seen = written(seen.where(f"term = '' or yes + no >= {SUPPORT}"))
-    total = seen.where("term = ''").first()
-    yes, no = (total["yes"], total["no"]) if total else (0, 0)
-    terms: list[str] = []
-    if yes and no:
-        a, b = F.col("yes").cast("double"), F.col("no").cast("double")
-        c, d, n = yes - a, no - b, float(yes + no)
-        chi = n * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * float(yes) * float(no))
-        best = seen.where("term <> ''").where(a + b < n).withColumn("chi", chi).where(F.col("chi") >= CHI)
-        terms = sorted(r["term"] for r in best.orderBy(F.desc("chi"), "term").limit(TERMS).collect())
-    df = dict(texts.select("text").mapInArrow(lambda it: _df(it, terms), "term int, df long").groupBy("term").agg(F.sum("df")).collect())
+    seen = seen.toArrow().sort_by("term").to_pydict()  # the words of `sample` documents
+    (toxic, clean), first = ((seen["yes"][0], seen["no"][0]), 1) if seen["term"] and not seen["term"][0] else ((0, 0), 0)
+    terms, yes, no = seen["term"][first:], seen["yes"][first:], seen["no"][first:]
+    sent = Sent(spark, {t: i for i, t in enumerate(terms)})
+    listed = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "number": pa.array(range(len(terms)), pa.int32())}))
+    df = dict(document_frequencies(texts.select("text"), listed).collect())
     n = df.pop(-1, 0)
-    idf = np.array([math.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
-    rows = examples.mapInArrow(lambda it: _vectors(it, terms), "doc_id long, toxic int, at array<int>, n array<int>").collect()  # `sample` short rows
-    return Index(terms, idf, sorted((r["doc_id"], r["toxic"], list(r["at"]), list(r["n"])) for r in rows))
+    weight_of = term_weights([df.get(i, 0) for i in range(len(terms))], n, yes, no, toxic, clean)
+    rows = examples.mapInArrow(lambda it: _vectors(it, sent), "doc_id long, toxic int, at array<int>, n array<int>").toArrow()
+    return Index(terms, weight_of, sorted((r["doc_id"], r["toxic"], r["at"], r["n"]) for b in rows.to_batches() for r in b.to_pylist()))
 
 
 def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     index = sent.value
-    v = Vocabulary(index.terms)
+    v = index.known()
     for b in batches:
-        got = [index.score(v.counts(t.as_py())) for t in b["text"]]
+        got = index.scores(b["text"].to_pylist(), v)
         yield pa.RecordBatch.from_arrays([b["row_no"], b["doc_id"], pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=["row_no", "doc_id", "score", "evidence"])
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """(row_no, doc_id, score, evidence) of every whole text; the score is a function of the text alone.
 
-    Texts that are null, empty or without any indexed term get the smoothed rate of such examples and no
+    Texts that are null, empty or without any word of an example get the smoothed rate of such examples and no
     evidence. evidence holds doc_ids of the nearest labelled examples. Repeated rows stay.
     """
     spark = docs.sparkSession
     tune(spark)
-    sent = Sent(spark, index)  # SAMPLE examples of at most TERMS terms
+    sent = Sent(spark, index)  # the words of SAMPLE examples
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _score(it, sent), "row_no long, doc_id long, score double, evidence array<long>")
 
@@ -274,9 +379,9 @@ def reject(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = sent.value
-        v = Vocabulary(ix.terms)
+        v = ix.known()
         at = names.index("text")
         for b in batches:
-            yield b.filter(pa.array([ix.score(v.counts(t.as_py()))[0] < threshold for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([s < threshold for s, _ in ix.scores(b.column(at).to_pylist(), v)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
