@@ -181,6 +181,25 @@ def test_op5_like_brute_force(spark):
     assert pairs == {(a, b) for a in values for b in values if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 2}
 
 
+def test_op5_pivot_tables_draw_and_discard_pairs(spark):
+    from textloom.llm import simhash as M
+
+    rng = random.Random(3)
+    assert len(set(M.PIVOTS)) == len(M.PIVOTS) == 36
+    # half of the bits shared by all, so that many pairs share cells without being near
+    fixed = rng.getrandbits(39)
+    values = sorted({(fixed | rng.getrandbits(25) << 39) - (1 << 63) for _ in range(600)})
+    values += [v ^ 1 ^ (1 << 40) for v in values[:50]]
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    near = {(a, b) for a in values for b in values if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 2}
+    drawn = M.candidates(df).select("x.fp", "y.fp").count()
+    kept = M.candidates(df).where(M.survive(2)).count()
+    assert {(r["a"], r["b"]) for r in M.links(df).collect()} == near and len(near) >= 50
+    assert drawn >= 600 * 599 // 2 and len(near) <= kept < drawn / 20  # the table alone discards most pairs of a shared cell
+    table = df.select("fp", *M.pivot_table(F.col("fp"))).select("fp", *[M._distance(i).alias(f"d{i}") for i in range(36)]).first()
+    assert [table[f"d{i}"] for i in range(36)] == [((table["fp"] ^ p) % (1 << 64)).bit_count() for p in M.PIVOTS]
+
+
 def test_similar_groups_like_brute_force(spark):
     from textloom.llm import simhash as M
 
@@ -190,6 +209,11 @@ def test_similar_groups_like_brute_force(spark):
         w = base[0 if i < 25 else i % 12].split()
         w[rng.randrange(len(w))] = f"new{i}"
         rows.append((300 + i, " ".join(w)))
+    for i in range(300):  # a chain of near copies, each next to the one before, that share buckets
+        w = (base[3] + " " + base[4] if i == 0 else rows[-1][1]).split()
+        w[(i * 5) % len(w)] = f"step{i}"
+        rows.append((500 + i, " ".join(w)))
+    rows += [(900 + i, " ".join(base[5].split()[: 8 + i])) for i in range(4)]  # very short ones at 4 of 5 shingles
     sets = [frozenset(M.shingle_hashes(t, 5).tolist()) for _, t in rows]
     group = list(range(len(rows)))
     for a in range(len(rows)):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.storage import shared_dir, written
 
-__all__ = ["Sent", "parallelism", "shared_dir", "table", "text_bytes", "tune", "written"]
+__all__ = ["Sent", "numbered", "parallelism", "shared_dir", "table", "text_bytes", "tune", "written"]
 
 
 def tune(spark: SparkSession) -> None:
@@ -42,3 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_bytes(column: str) -> "F.Column":
     """UTF-8 length of a text column; null counts 0."""
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a row number, written once: however df is computed, every later read sees the same number for a row."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()))

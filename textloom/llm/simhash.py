@@ -1,4 +1,8 @@
-"""SimHash fingerprints and near-duplicate groups, pairs filtered by pivot distance tables."""
+"""SimHash fingerprints and near-duplicate groups, by pivot distance tables.
+
+The Hamming distances of every fingerprint to 36 reference fingerprints are tabled. Pairs come from equal cells of this
+table, are discarded by their largest coordinate difference, and survivors are verified.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +15,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune, written
+from .common import numbered, tune, written
 from .components import components
 
-#: Reference fingerprints; the distances of 8 fit in one long, 7 bits each.
-PIVOTS = [random.Random(2024).getrandbits(64) - (1 << 63) for _ in range(16)]
 #: Bit ranges (low bit, width). Fingerprints at distance 2 or less agree in 3 of these 5 blocks at least.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+PATTERNS = 5  # reference fingerprints for each block, which differ from the first one inside that block only
+FREE = 10  # further reference fingerprints, drawn freely
+WORD = 9  # distances that one long holds, 7 bits each
+
+
+def _references() -> list[int]:
+    """The reference fingerprints, all different: a base, then PATTERNS that differ from it inside one block, for each
+    block, then FREE ones."""
+    rng = random.Random(2024)
+    base = rng.getrandbits(64)
+    inside = [base ^ (x << low) for low, width in BLOCKS for x in rng.sample(range(1, 1 << width), PATTERNS)]
+    return [base, *inside, *(rng.getrandbits(64) for _ in range(FREE))]
+
+
+PIVOTS = [x - (1 << 64) if x >> 63 else x for x in _references()]
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -53,38 +70,63 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return written(rows.mapInArrow(lambda it: _fingerprints(it, words), "row_no long, doc_id long, fp long"))
 
 
-def _pivot_table(fp: Column, eight: list[int]) -> Column:
-    cells = [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long"), 7 * i) for i, p in enumerate(eight)]
-    return reduce(lambda a, b: a.bitwiseOR(b), cells)
+def pivot_table(fp: Column) -> list[Column]:
+    """Hamming distances of a fingerprint to all PIVOTS, WORD of them in each long."""
+    distances = [F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long") for p in PIVOTS]
+    words = [distances[i : i + WORD] for i in range(0, len(distances), WORD)]
+    return [reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(d, 7 * i) for i, d in enumerate(w)]).alias(f"p{k}") for k, w in enumerate(words)]
+
+
+WORDS = -(-(1 + len(BLOCKS) * PATTERNS + FREE) // WORD)
+
+
+def _distance(i: int, side: str = "") -> Column:
+    return F.shiftright(F.col(f"{side}p{i // WORD}"), 7 * (i % WORD)).bitwiseAND(F.lit(127))
+
+
+def _cell(block: int) -> Column:
+    """What the table says about one block: distances to its references less the distance to the base.
+
+    Outside the block these references equal the base, so fingerprints that agree in the block have the same cell.
+    """
+    first = 1 + block * PATTERNS
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(_distance(first + j) - _distance(0) + 16, 5 * j) for j in range(PATTERNS)])
+
+
+def candidates(fps: DataFrame) -> DataFrame:
+    """Pairs (x, y: structs of fp and table) of distinct fingerprints that share the cells of three blocks, each pair once.
+
+    Two fingerprints that differ in two bits or fewer agree in three of the five blocks, hence in these blocks' cells.
+    A pair is reported by the first block triple whose cells it shares.
+    """
+    table = fps.select("fp", *pivot_table(F.col("fp"))).select("*", *[_cell(i).alias(f"c{i}") for i in range(len(BLOCKS))])
+    triples = list(itertools.combinations(range(len(BLOCKS)), 3))
+    keys = F.array(*[F.struct(F.lit(n).alias("t"), F.xxhash64(F.lit(n), *[f"c{i}" for i in t]).alias("key")) for n, t in enumerate(triples)])
+    rows = table.select("*", F.inline(keys))
+    x, y = rows.alias("x"), rows.alias("y")
+    same = [F.col(f"x.c{i}") == F.col(f"y.c{i}") for i in range(len(BLOCKS))]
+    first = F.coalesce(*[F.when(same[a] & same[b] & same[c], F.lit(n)) for n, (a, b, c) in enumerate(triples)])
+    return x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (first == F.col("x.t")))
+
+
+def survive(bits: int) -> Column:
+    """No reference distance of the pair differs by more than `bits`: by the triangle inequality, others are out of reach."""
+    return reduce(lambda a, b: a & b, [F.abs(_distance(i, "x.") - _distance(i, "y.")) <= bits for i in range(len(PIVOTS))])
 
 
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints in column fp that differ in `bits` bits or fewer (at most 2).
 
-    Every pair in reach agrees in three of five blocks, so it meets in the bucket of at least one block triple
-    and is reported by the first such triple only. In a bucket, a pair whose distances to any of the pivots
-    differ by more than `bits` cannot be in reach (triangle inequality) and is discarded before its own distance
-    is taken. A fingerprint has at most 2080 neighbours in reach, so links grow in proportion to fingerprints.
-    Buckets are join keys: Spark splits large ones between tasks and no task holds a bucket in memory.
+    Distances to all PIVOTS are tabled once. Pairs are drawn from cells of the table (see candidates), discarded where
+    any coordinate differs by more than `bits`, and the survivors' own distance is taken. Cells are equal for pairs in
+    reach, so no neighbouring cell is looked at and a fingerprint is dealt to ten buckets, however many there are.
+    A fingerprint has at most 2080 neighbours in reach, so links grow in proportion to fingerprints. Buckets are join
+    keys: Spark splits large ones between tasks and no task holds a bucket in memory.
     """
     if not 0 <= bits <= 2:
-        raise ValueError("block triples find distances of 0 to 2")
-    triples = list(itertools.combinations(range(len(BLOCKS)), 3))
-    masks = [sum(((1 << BLOCKS[i][1]) - 1) << BLOCKS[i][0] for i in t) for t in triples]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    fp = F.col("fp")
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    rows = fps.select("fp", _pivot_table(fp, PIVOTS[:8]).alias("p"), _pivot_table(fp, PIVOTS[8:]).alias("q"), F.inline(keys))
-    x, y = rows.alias("x"), rows.alias("y")
-    near = [
-        F.abs(F.shiftright(F.col(f"x.{c}"), 7 * i).bitwiseAND(F.lit(127)) - F.shiftright(F.col(f"y.{c}"), 7 * i).bitwiseAND(F.lit(127))) <= bits
-        for c in "pq"
-        for i in range(8)
-    ]
-    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
-    on = [F.col("x.t") == F.col("y.t"), F.col("x.key") == F.col("y.key"), F.col("x.fp") < F.col("y.fp"), *near, F.bit_count(differ) <= bits, first == F.col("x.t")]
-    return x.join(y, reduce(lambda a, b: a & b, on)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        raise ValueError("cells of block triples find distances of 0 to 2")
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
+    return candidates(fps).where(survive(bits)).where(near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
@@ -105,7 +147,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
 
 
 BANDS, ROWS = 16, 3  # buckets of a text, and min-wise samples that one bucket takes together
-REACH = 24  # bits by which 64-bit fingerprints of texts at similarity 0.8 differ at most (10 expected, deviation 3)
 PAIRED = 8  # rows up to which a bucket compares all its pairs at once
 SIDE_ROWS, SIDE_SHINGLES = 1024, 1 << 20  # what one side of a block of a larger bucket holds, about
 BROADCAST_ROWS = 200_000
@@ -226,56 +267,67 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """(row_no, doc_id, component) for every row of docs (doc_id, text): equal components are near duplicates.
 
     Two texts link if the Jaccard similarity of their sets of word shingles is `similarity` or more; texts with the
-    same words always do, and texts without words are one group. Fingerprints of 64 bits are about 10 bits apart at
-    0.8, too far for shared blocks, so buckets come from min-wise samples of the shingles (a pair at 0.8 shares one
-    of the 16 with probability 0.99999). In a bucket, pivot distance tables discard pairs by their largest
-    coordinate difference, then the fingerprints' own distance, and survivors are verified on whole shingle sets.
+    same words always do, and texts without words are one group. Every link is verified on whole shingle sets.
+
+    Pairs are drawn twice. Fingerprints within two bits come from the pivot tables of links(), which finds most copies
+    at little cost. Texts at 0.8 have fingerprints about 10 bits apart, too far for any pivot to tell from chance, so
+    the others come from min-wise samples of the shingles (a pair at 0.8 shares one of 16 buckets with probability
+    0.99999); no pair of a bucket is discarded but by its sizes, of which the smaller must be `similarity` of the larger.
 
     Copies are one row before buckets form. A bucket of up to PAIRED rows compares all pairs; in a larger one every
-    row is first compared with two members chosen anew for each bucket. The second part of the buckets only takes
-    pairs that the first hasn't already connected. Rows of a larger bucket that are still in different groups are then
-    all compared on whole shingle sets, without the fingerprint cut. A bucket that is one group by then takes work in
-    proportion to its rows; one of rows that stay apart takes a comparison for each pair of them.
+    row is first compared with two members chosen anew for each bucket. Pairs that are connected already are not
+    compared. Rows of a larger bucket that are still in different groups are then all compared on whole shingle sets.
+    A bucket that is one group by then takes work in proportion to its rows; one of rows that stay apart takes a
+    comparison for each pair of them.
     """
-    tune(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _similar(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "row_no"), words, similarity)
+
+
+def _similar(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """similar_groups() of a written table (row_no, doc_id, text)."""
+    tune(rows.sparkSession)
     seen = written(rows.mapInArrow(lambda it: _features(it, words), "row_no long, doc_id long, d1 long, d2 long, fp long, size long, bands array<long>"))
     distinct = written(seen.groupBy("d1", "d2").agg(F.min("row_no").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    fp = F.col("fp")
-    spread = distinct.select("id", "fp", "size", _pivot_table(fp, PIVOTS[:8]).alias("p"), _pivot_table(fp, PIVOTS[8:]).alias("q"), F.posexplode("bands").alias("band", "key"))
-    salted = F.struct(F.xxhash64("key", "id").alias("s"), "id", "fp", "p", "q")
+    spread = distinct.select("id", "size", F.posexplode("bands").alias("band", "key"))
+    salted = F.struct(F.xxhash64("key", "id").alias("s"), "id", "size")
     sizes = spread.groupBy("key").agg(F.count("*").alias("n"), F.min(salted).alias("one"), F.max(salted).alias("two")).where("n > 1")
     met = written(spread.join(sizes, "key"))
 
-    def near(x: str, y: str) -> Column:
-        cells = [F.abs(F.shiftright(F.col(f"{x}.{c}"), 7 * i).bitwiseAND(F.lit(127)) - F.shiftright(F.col(f"{y}.{c}"), 7 * i).bitwiseAND(F.lit(127))) <= REACH for c in "pq" for i in range(8)]
-        return reduce(lambda a, b: a & b, cells) & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= REACH)
+    def near(x: str, y: str) -> Column:  # sets of such sizes can reach the similarity
+        return F.least(f"{x}.size", f"{y}.size") >= similarity * F.greatest(f"{x}.size", f"{y}.size") - 1e-9
+
+    heads = written(distinct.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("rep")))  # texts of one fingerprint meet at one of them
+    own = distinct.select("fp", F.struct("id", "size").alias("me")).join(heads, "fp").where("me.id <> rep.id")
+    close = links(heads.select("fp"))
+    l, r = heads.select(F.col("fp").alias("a"), F.col("rep").alias("me")), heads.select(F.col("fp").alias("b"), "rep")
+    printed = own.select("me", "rep").unionByName(close.join(l, "a").join(r, "b").select("me", "rep")).where(near("me", "rep"))
 
-    few = met.where(F.col("n") <= PAIRED).select("key", "band", F.struct("id", "fp", "p", "q").alias("me"))
+    few = met.where(F.col("n") <= PAIRED).select("key", "band", F.struct("id", "size").alias("me"))
     pairs = few.alias("l").join(few.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.me.id") < F.col("r.me.id")) & near("l.me", "r.me"))
     pairs = pairs.select(F.col("l.band").alias("band"), F.col("l.me.id").alias("a"), F.col("r.me.id").alias("b"))
-    many = met.where(F.col("n") > PAIRED).select("band", F.struct("id", "fp", "p", "q").alias("me"), F.explode(F.array("one", "two")).alias("rep"))
-    stars = many.where((F.col("me.id") != F.col("rep.id")) & near("me", "rep")).select("band", F.least("me.id", "rep.id").alias("a"), F.greatest("me.id", "rep.id").alias("b"))
+    many = met.where(F.col("n") > PAIRED).select("band", F.struct("id", "size").alias("me"), F.explode(F.array("one", "two")).alias("rep"))
+    stars = many.where((F.col("me.id") != F.col("rep.id")) & near("me", "rep")).select("band", "me", F.struct("rep.id", "rep.size").alias("rep")).unionByName(printed.select(F.lit(-1).alias("band"), "me", "rep"))
+    stars = stars.select("band", F.least("me.id", "rep.id").alias("a"), F.greatest("me.id", "rep.id").alias("b"))
     pairs = written(pairs.unionByName(stars).groupBy("a", "b").agg(F.min("band").alias("band")))
 
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     sets = written(rows.join(wanted, F.col("row_no") == F.col("id"), "left_semi").select("row_no", "text").mapInArrow(lambda it: _sets(it, words), "id long, shingles binary"))
 
-    links = None
-    for first, last in ((0, BANDS // 4), (BANDS // 4, BANDS)):
+    found = None
+    for first, last in ((-1, 0), (0, BANDS // 4), (BANDS // 4, BANDS)):
         todo = pairs.where((F.col("band") >= first) & (F.col("band") < last))
-        if links is not None:
-            known = components(links)
+        if found is not None:
+            known = components(found)
             l, r = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
             todo = todo.join(l, "a", "left").join(r, "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
         sided = todo.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         more = written(sided.select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long"))
-        links = more if links is None else links.unionByName(more)
-    groups = components(links)
+        found = more if found is None else found.unionByName(more)
+    groups = components(found)
     more = _rest_links(rows, met.where(F.col("n") > PAIRED).select("key", "id", "size"), groups, words, similarity)
     if more is not None:
-        groups = components(links.unionByName(more))
+        groups = components(found.unionByName(more))
     placed = written(distinct.select("d1", "d2", "id").join(groups, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component")))
     return seen.join(placed, ["d1", "d2"]).select("row_no", "doc_id", "component")
 
@@ -315,8 +367,8 @@ def _rest_links(rows: DataFrame, hot: DataFrame, groups: DataFrame, words: int,
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row left of each group of similar_groups(): the smallest doc_id, then the earliest row."""
-    found = similar_groups(docs, words, similarity)
+    pinned = numbered(docs, "_textloom_row")
+    found = _similar(pinned.select(F.col("_textloom_row").alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), words, similarity)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")
     kept = found.groupBy("component").agg(F.min(order).alias("kept")).select(F.col("kept.row_no").alias("_textloom_row"))
-    rows = docs.withColumn("_textloom_row", F.monotonically_increasing_id())
-    return rows.join(written(kept), "_textloom_row", "left_semi").select(*docs.columns)
+    return pinned.join(written(kept), "_textloom_row", "left_semi").select(*docs.columns)
