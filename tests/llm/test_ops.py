@@ -78,6 +78,48 @@ def test_op2_recall_and_odd_vectors(spark):
         assert all(abs(s - float(np.sqrt(((dict(usable)[i] - x) ** 2).sum()))) < 1e-9 for _, i, s in found)
     assert hit / total >= 0.9 and len(got) == len([i for i, _ in rows if i % 100 == 0]) + 2
     assert nearest(df.limit(0), F.lit(True)).count() == 0
+    with pytest.MonkeyPatch.context() as m:  # many cells and blocks, one vector a third of all rows
+        from textloom.llm import neighbours as M
+
+        m.setattr(M, "BLOCK", 40)
+        same = [(20_000 + i, rows[3][1], 1) for i in range(100)]
+        more = spark.createDataFrame([(a, b, 1) for a, b in rows] + same, "vec_id long, embedding array<double>, row_no int")
+        exact = {r["query_id"]: [] for r in nearest(more, F.col("vec_id") % 100 == 0).where("rank = 1").collect()}
+        hit = 0
+        for r in nearest(more, F.col("vec_id") % 100 == 0).collect():
+            exact[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        all_rows = rows + [(a, b) for a, b, _ in same]
+        for q, found in exact.items():
+            x = np.array(dict(all_rows)[q])
+            want = sorted((float(np.sqrt(((np.array(v) - x) ** 2).sum())), i) for i, v in all_rows if i != q)[:10]
+            assert len(found) == 10 and [f[2] for f in sorted(found)] == sorted(f[2] for f in found)
+            hit += len({i for _, i, _ in found} & {i for _, i in want})
+        assert hit >= 0.9 * 10 * len(exact)
+
+
+def test_op2_recall_and_share_of_vectors_verified(spark):
+    """Over several blocks with one bound; uniform directions are the worst case, clusters the usual one."""
+    import numpy as np
+
+    from textloom.llm.neighbours import CONFIDENCE, RATIO, Tree, reach
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((200, 64)) * 3
+    for name, x, most in (("uniform", rng.standard_normal((6000, 64)), 0.8), ("clusters", centres[rng.integers(0, 200, 6000)] + rng.standard_normal((6000, 64)), 0.4)):
+        blocks = [Tree(np.arange(i, i + 1500), np.arange(i, i + 1500), x[i : i + 1500]) for i in range(0, 6000, 1500)]
+        hit = 0
+        for q in range(0, 6000, 100):
+            found, bound = [], np.inf
+            for t in [blocks[q // 1500], *(b for i, b in enumerate(blocks) if i != q // 1500)]:
+                places, scores = t.search(x[q], 10, reach(CONFIDENCE, RATIO), bound, q)
+                found = sorted(found + list(zip(scores, t.rows[places].tolist())))[:10]
+                bound = found[-1][0] ** 2
+            d = ((x - x[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            hit += len({i for _, i in found} & set(np.argsort(d)[:10].tolist()))
+        share = sum(b.verified for b in blocks) / (60 * 6000)
+        print(name, "recall", hit / 600, "share verified", round(share, 3))
+        assert hit / 600 >= 0.9 and share < most
 
 
 def test_op3_exact_neighbours_and_accuracy(spark, monkeypatch):
