@@ -13,7 +13,6 @@ from .common import Sent, tune
 
 BUCKETS = 1 << 14  # hashed n-grams of 1 to 3 characters
 SAMPLE = 2400  # labelled documents that a model is fitted on, over all languages
-MAX_LANGUAGES = 400
 SLICE = 1 << 20  # characters counted at once
 EPOCHS = 4
 UNKNOWN = "und"
@@ -165,7 +164,9 @@ def fit(docs: DataFrame, learn: "F.Column", sample: int = SAMPLE) -> Model:
     """Fits on a sample of the rows of docs (doc_id, text, lang) where `learn` holds and lang is not null.
 
     Document frequencies come from all texts. The sample is at most about `sample` whole documents, an equal
-    share of each language, chosen by a hash of doc_id. A fifth of it sets the temperature only.
+    share of each language and one of each at least, chosen by a hash of doc_id. A fifth of it sets the temperature
+    only. Where nothing can be learned, the model knows no language. The driver holds 32 bytes for each bucket and
+    language, executors 8.
     """
     import numpy as np
 
@@ -176,18 +177,14 @@ def fit(docs: DataFrame, learn: "F.Column", sample: int = SAMPLE) -> Model:
     for b, x in df.items():
         idf[b] = np.log((n + 1) / (x + 1)) + 1
     able = docs.where(learn & F.col("lang").isNotNull())
-    langs = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if not langs:
-        raise ValueError("no labelled document to learn from")
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    each = max(1, sample // len(langs))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["count"]))) for r in langs])
+    langs = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
+    each = max(1, sample // max(1, len(langs)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in langs], "lang string, share double")
     key = F.xxhash64(F.lit("langid"), "doc_id")
-    picked = able.where(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)).select("lang", key.alias("key"), F.col("text").cast("string").alias("text"))
+    picked = able.join(F.broadcast(shares), "lang").where(F.pmod(key, F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", key.alias("key"), F.col("text").cast("string").alias("text"))
     rows = sorted(picked.mapInArrow(_sparse, "lang string, key long, at binary, n binary").collect(), key=lambda r: (r["key"], r["lang"], r["at"], r["n"]))
     if not rows:
-        raise ValueError("no labelled document with letters to learn from")
+        return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     model = Model(sorted({r["lang"] for r in rows}), idf, None, None, 1.0)
     place = {x: i for i, x in enumerate(model.languages)}
     x = [(np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["n"], "<u4")) for r in rows]
@@ -209,9 +206,9 @@ def _predict(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
         lang, score = [], []
         for t in b["text"]:
             c = counts(t.as_py())
-            if c is None:
+            if c is None or not m.languages:
                 lang.append(UNKNOWN)
-                score.append(1.0)
+                score.append(1.0 if c is None else 0.0)
             else:
                 p = m.probabilities(c)
                 i = int(np.argmax(p))
@@ -221,7 +218,8 @@ def _predict(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text; `und` with score 1 where a text is null or has no letter.
+    """(doc_id, lang_pred, score) of every whole text; `und` with score 1 where a text is null or has no letter, and
+    `und` with score 0 for any other text if the model knows no language.
 
     Ties go to the language that sorts first. Repeated rows stay; other columns are not looked at.
     """
