@@ -81,7 +81,8 @@ def shard(df: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
 
     Shard sizes differ by one row at most, whatever keys, texts or copies the rows hold: a row's partition comes
     from its place in a written copy of df, never from its values, so no value can make one partition large.
-    That copy also makes the draw repeatable when a task runs again. Empty input gives no rows; null values
+    That copy also makes the draw repeatable when a task runs again; the same seed gives the same layout for the same
+    rows in the same partitions and the same number of shuffle partitions. Empty input gives no rows; null values
     and repeated rows are rows like others. Columns named shard or slot are replaced.
 
     Each shard is split into equal sub-shards with fixed slot ranges, so the second permutation is sorted in
@@ -89,8 +90,9 @@ def shard(df: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     """
     spark = df.sparkSession
     pinned = written(df.drop("shard", "slot"))
-    place = F.xxhash64(F.lit(seed), F.col("_metadata.file_name"), F.col("_metadata.row_index"))
-    rows = pinned.select("*", place.alias("_place"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    file = F.concat(*[F.lpad(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)-.*-c(\d+)", i), 10, "0") for i in (1, 2)])  # without the random name of the run
+    rows = pinned.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = rows.withColumn("_place", F.xxhash64(F.lit(seed), "_file", "_row"))
 
     width = parallelism(spark)
     subs = max(1, math.ceil(4 * width / shards))
