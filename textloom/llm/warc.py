@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune, written
+from .common import numbered, tune, written
 
 FRAME_BYTES = 256 << 10  # plain bytes after which a frame ends
 BUNDLE_BYTES = 16 << 20  # plain bytes after which a bundle ends
@@ -184,10 +184,8 @@ def write_bundles(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", min_byte
     """
     tune(pages.sparkSession)
     html = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html).alias("_hex"), F.octet_length(html).alias("_n"),
-        F.monotonically_increasing_id().alias("row_no"),
-    )
+    pinned = numbered(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), "row_no")
+    rows = pinned.select("page_id", "url", "html", F.sha1(html).alias("_hex"), F.octet_length(html).alias("_n"), "row_no")
     first = rows.groupBy("_hex", "_n").agg(F.max(F.struct("page_id", "row_no")).alias("_ref"), F.count("*").alias("_copies"))
     many = first.where((F.col("_copies") > 1) & (F.col("_n") >= min_bytes)).select("_hex", "_n", "_ref")
     # a row needs its group only where the group has more than one member
@@ -203,3 +201,24 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
     """One row per record, read through each bundle's seek table; payloads are checked against their digests."""
     tune(bundles.sparkSession)
     return bundles.select("content", "records").mapInArrow(_read, READ)
+
+
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    for b in batches:
+        out = []
+        for content, r in zip(b["content"], b["r"].to_pylist()):
+            data = content.as_py()
+            start, packed, _ = read_seek_table(data)[r["frame"]]
+            plain = zstandard.ZstdDecompressor().decompress(data[start : start + packed])
+            out.append((r["record_id"], plain[r["offset"] : r["offset"] + r["length"]]))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["record_id", "record"])
+
+
+def find_records(bundles: DataFrame, record_ids: list[str]) -> DataFrame:
+    """(record_id, record bytes) of the records asked for; of each, one frame is decompressed."""
+    tune(bundles.sparkSession)
+    asked = bundles.sparkSession.createDataFrame([(x,) for x in record_ids], "record_id string")
+    found = bundles.select("content", F.explode("records").alias("r")).join(F.broadcast(asked), F.col("r.record_id") == F.col("record_id"))
+    return found.select("content", "r").mapInArrow(_look_up, "record_id string, record binary")
