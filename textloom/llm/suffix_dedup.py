@@ -29,7 +29,7 @@ WORD = 8
 DENSITY = 64  # one word in so many is a trigger
 HALF = 100
 CHUNK = 4 << 20  # bytes of text in one chunk of documents, at least (unless it is the last)
-HOT = 5_000  # a key with more contexts than this compares windows by hash, which needs no group in memory
+HOT = 500  # a key with more contexts than this compares windows by hash, which needs no group in memory
 ROWS = 20_000  # contexts sorted at once
 SLICE = 1 << 20
 
