@@ -15,6 +15,7 @@ def held(doc_id: "F.Column", of: int, rest: int) -> "F.Column":
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of documents, learned from those outside the held-out third."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs, ~held(F.col("doc_id"), 3, 1))
     return predict(docs, model).select("doc_id", held(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")

@@ -9,6 +9,7 @@ from .packing import pack
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of documents, in sequences of 2048 ids of the public tokenizer."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))

@@ -10,6 +10,7 @@ from .sharding import shard
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard, slot, size and text hash, under the law of equal row counts."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         (text_bytes("text") + 16).alias("size"),

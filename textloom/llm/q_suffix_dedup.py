@@ -9,6 +9,7 @@ from .suffix_dedup import digests
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that stand anywhere else."""
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

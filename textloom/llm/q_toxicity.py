@@ -11,6 +11,7 @@ from .toxicity import fit, score
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by its nearest labelled examples, learned outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     index = fit(docs, labels, ~held(F.col("doc_id"), 5, 0))

@@ -17,6 +17,7 @@ RULES = [
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the fixed rules on every page."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")

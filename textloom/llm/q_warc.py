@@ -9,6 +9,7 @@ from .warc import read_bundles, write_bundles
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written to bundles and read back."""
     return read_bundles(write_bundles(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
