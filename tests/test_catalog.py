@@ -8,3 +8,50 @@ def test_skip_source_keeps_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, catalog.skip_source(spark, str(tmp_path)).collect()))
     assert got == [(1, 1, "b"), (2, 1, "d"), (3, 0, "e"), (3, 1, "f"), (4, 0, "g")]
+
+
+def test_soup_nodes_are_a_tree(spark):
+    from textloom.operators.blocks import DOC, candidates, flatten, uncovered
+    from textloom.sources.books import nodes
+    from textloom.sources.tables import page_documents, soup_nodes
+
+    html = '<title>no</title>lead<div><p class="a b">one <b>two<br>three<i x="1">four</b> five</p>gap<ul><li>six<li><a href="/x">seven</a></ul>end'
+    n = soup_nodes(html)
+    assert [(x["element_path"], x["tag"], x["txt"], x["tail"]) for x in n] == [
+        ("", "body", "lead", None), ("1", "p", "one ", "gap"), ("1.1", "b", "two", " five"), ("1.1.1", "br", "", "three"), ("1.1.2", "i", "four", ""),
+        ("2", "li", "six", ""), ("3", "li", "", "end"), ("3.1", "a", "seven", ""),
+    ]
+    assert [(x["pre"], x["post"], x["parent"]) for x in n] == [(0, 7, -1), (1, 4, 0), (2, 4, 1), (3, 3, 2), (4, 4, 2), (5, 5, 0), (6, 7, 0), (7, 7, 6)]
+    assert n[1]["classes"] == ["a", "b"] and n[4]["attrs"] == [("x", "1")] and soup_nodes(None)[0]["post"] == 0
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>")], "page_id long, html string")
+    c = candidates(nodes(page_documents(pages)))
+    got = {(r["book_id"], r["raw"]) for r in flatten(c.where("root is not null"), [*DOC, "root"]).collect()}
+    assert got == {("1", "one two\nthreefour five"), ("1", "six"), ("1", "seven"), ("3", "")}
+    assert sorted(r["element_path"] for r in uncovered(c).collect()) == ["", "1", "3"]
+
+
+def test_recipes_over_lines(spark, tmp_path):
+    rows = [(12, "Head\nA one\nlow\n\nlow two\nB", "en", "x", 3), (3, "low", "en", "x", 3), (4, "", "de", "y", 1), (5, None, "de", "y", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.recipe_joins(spark, str(tmp_path)).collect()))
+    assert got == [
+        (3, "heading", "0001", "Document 3"), (3, "rest", "0002", "low"), (4, "heading", "0001", "Document 4"),
+        (12, "heading", "0001", "Document 12"), (12, "sentence", "0002", "Head"), (12, "sentence", "0003", "A one low low two"), (12, "sentence", "0004", "B"),
+    ]
+    got = sorted(map(tuple, catalog.recipe_edits(spark, str(tmp_path)).where("doc_id = 12").collect()))
+    assert got == [
+        (12, "digit", "front.002", "1"), (12, "line", "front.003", "A one"), (12, "line", "front.004", "low"), (12, "line", "front.005", ""), (12, "line", "front.006", "low two"), (12, "line", "front.007", "B"),
+        (12, "name", "front.001", "Paper"), (12, "note", "front:1", "Document 12/1"),
+    ]
+
+
+def test_a_recipe_asks_its_checks_at_once(spark, tmp_path, monkeypatch):
+    from textloom.plans import compiler
+
+    asked = []
+    run = compiler.Checks.run
+    monkeypatch.setattr(compiler.Checks, "run", lambda self: (asked.append(len(self.queries)), run(self)))
+    rows = [(1, "A\nb", "en", "x", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.recipe_edits(spark, str(tmp_path)).count() == 4
+    assert len(asked) == 2 and sum(asked) >= 15  # one action for the plan, one for the records

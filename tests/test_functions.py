@@ -84,23 +84,28 @@ def test_numbering_like_a_loop(spark):
 
 def test_runs_like_a_loop(spark):
     rng = random.Random(4)
-    rows = [(b, i, rng.random() < 0.4, rng.random() < 0.6, rng.random() < 0.1, rng.randint(1, 3)) for b in range(20) for i in range(25)]
-    df = spark.createDataFrame(rows, "b int, i long, start boolean, go boolean, brk boolean, n int")
-    got = {(r["b"], r["i"]): r["run"] for r in S.runs_while(df, ["b"], ["i"], F.col("start"), F.col("go"), F.col("brk")).collect()}
-    fixed = {(r["b"], r["first"]): (r["last"], r["complete"]) for r in S.runs_fixed(df, "b", "i", F.col("n")).collect()}
-    for b in range(20):
-        run, live = None, False
-        own = [r for r in rows if r[0] == b]
-        for _, i, start, go, brk, _ in own:
-            if not (live and go and not brk):
-                run, live = i, start
-            assert got[b, i] == run
+    rows = []
+    for b in range(40):
+        for i in range(25):
+            rule = rng.choice([-1, -1, 0, 1])
+            rows.append((f"d{b}", i, rng.randint(1, 3) if rule < 0 else 0, rule, [rng.random() < 0.6, rng.random() < 0.8], rng.random() < 0.1, rng.random() < 0.1))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "b string, i long, takes int, rule int, goes_on array<boolean>, breaks boolean, ends_after boolean").repartition(3)
+    got = {(r["b"], r["i"]): (r["run"], r["place"]) for r in S.runs(df, "b", "i").collect()}
+    assert len(got) == len(rows)
+    for b in range(40):
+        own = sorted(r for r in rows if r[0] == f"d{b}")
         i = 0
         while i < 25:
-            n = own[i][5]
-            assert fixed.pop((b, i)) == (min(i + n - 1, 24), i + n <= 25)
-            i += n
-    assert not fixed
+            j = i + 1
+            if own[i][3] < 0:
+                j = min(25, i + own[i][2])
+            else:
+                while j < 25 and own[j][4][own[i][3]] and not own[j][5] and not own[j - 1][6]:
+                    j += 1
+            for k in range(i, j):
+                assert got[f"d{b}", k] == (i, k - i + 1)
+            i = j
 
 
 def test_list_ordinals_and_attachment(spark):

@@ -28,10 +28,10 @@ def profile(blocks: DataFrame) -> DataFrame:
 
 
 def examples(blocks: DataFrame, n: int = 3) -> DataFrame:
-    """The first and last n blocks of each pattern."""
-    w = Window.partitionBy("pattern")
+    """The first and last n blocks of each pattern of a book."""
+    w = Window.partitionBy("book_id", "pattern")
     keyed = blocks.withColumn("pattern", _pattern())
-    ranked = keyed.withColumns({"_a": F.row_number().over(w.orderBy("book_id", "seq")), "_z": F.row_number().over(w.orderBy(F.desc("book_id"), F.desc("seq")))})
+    ranked = keyed.withColumns({"_a": F.row_number().over(w.orderBy("seq")), "_z": F.row_number().over(w.orderBy(F.desc("seq")))})
     return ranked.where((F.col("_a") <= n) | (F.col("_z") <= n)).drop("_a", "_z")
 
 

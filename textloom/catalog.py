@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from . import authoring
+from .operators import blocks as B
 from .operators import records as R
 from .operators import sequence as S
-from .sources.tables import PAGE_BLOCK, document_lines, page_blocks, read
+from .plans.compiler import compile_recipe
+from .sources.books import nodes
+from .sources.tables import PAGE_BLOCK, document_lines, line_documents, page_blocks, page_documents, read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,6 +53,20 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_blocks(read(spark, sf_dir, "pages"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as documents with node tables."""
+    return page_documents(read(spark, sf_dir, "pages"))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of all pages, empty ones too: (book_id, document_path, page_id, seq, tag, classes, text)."""
+    found = B.candidates(nodes(_pages(spark, sf_dir)))
+    by = [*B.DOC, "root"]
+    texts = B.flatten(found.where("root is not null"), by)
+    roots = found.where("is_root").select(*B.DOC, F.col("pre").alias("root"), F.col("sib").cast("long").alias("seq"), "tag", "classes")
+    return roots.join(texts, by).select("book_id", "document_path", F.col("book_id").cast("long").alias("page_id"), "seq", "tag", "classes", F.col("raw").alias("text"))
+
+
 _KIND = "case when tag like 'h%' then 'heading' when tag = 'li' then 'item' when tag = 'pre' then 'verbatim' else 'paragraph' end"
 
 
@@ -56,19 +74,23 @@ _KIND = "case when tag like 'h%' then 'heading' when tag = 'li' then 'item' when
 select printf('%d.%03d', page_id, row_number() over (partition by page_id order by seq)) as id, type, text from n where text <> ''""")
 def extract_page_records(spark, sf_dir):
     """Page blocks as (id, type, text): normalised, empty ones dropped, numbered inside their page."""
-    b = _blocks(spark, sf_dir).select("page_id", "seq", F.expr(_KIND).alias("type"), _plain().alias("text")).where("text <> ''")
+    b = B.blocks(_pages(spark, sf_dir), form="none").select(F.col("book_id").cast("long").alias("page_id"), "seq", F.expr(_KIND).alias("type"), "text")
     numbered = S.number(b.withColumn("role", F.lit("block")), ["page_id"], ["seq"])
     return numbered.select(T.render("{group}.{number:03d}", {"group": F.col("page_id"), "number": F.col("block_no")}).alias("id"), "type", "text")
 
 
 @query(f"with {_PB} select page_id, seq, tag, text from pb")
 def scan_page_blocks(spark, sf_dir):
-    return _blocks(spark, sf_dir).select("page_id", "seq", "tag", "text")
+    return _scanned(spark, sf_dir).select("page_id", "seq", "tag", "text")
 
 
 @query(f"with {_PB} select page_id, seq, tag from pb where tag in ('p', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'pre') and {_norm('text')} <> ''")
 def candidate_filter(spark, sf_dir):
-    return _blocks(spark, sf_dir).where(F.col("tag").rlike("^(p|h[1-6]|pre)$") & ~T.blank(F.col("text"))).select("page_id", "seq", "tag")
+    """Primary blocks alone, without those that have no text."""
+    found = B.candidates(nodes(_pages(spark, sf_dir)), fallback=())
+    texts = B.flatten(found.where("root is not null"), [*B.DOC, "root"]).where(~T.blank(F.col("raw")))
+    kept = found.where("is_root").withColumn("root", F.col("pre")).join(texts, [*B.DOC, "root"], "left_semi")
+    return kept.select(F.col("book_id").cast("long").alias("page_id"), F.col("sib").cast("long").alias("seq"), "tag")
 
 
 @query("""select page_id, url from pages where regexp_matches(lower(url), '^https://.*/en/.*$') and not regexp_matches(lower(url), '^.*[.]html$')""")
@@ -191,7 +213,7 @@ def rules_first_match(spark, sf_dir):
     return c.select("conv_id", "turn", R.first_match(tests).alias("rule"))
 
 
-@query(f"with {_DL} select doc_id, seq, text from dl where not (seq = 0 and lang = 'en') and doc_id % 2 = 0")
+@query(f"with {_DL} select doc_id, seq, text from dl where not (seq = 0 and lang = 'en')")
 def skip_source(spark, sf_dir):
     d = _lines(spark, sf_dir).withColumn("locator", F.concat("lang", F.lit("#"), F.col("seq").cast("string")))
     return R.skip(d, ["en#0"]).select("doc_id", "seq", "text")
@@ -217,7 +239,9 @@ r as (select doc_id, seq as first, n, final from t where seq = 0
 select doc_id, first, least(first + n - 1, final) as last, least(first + n - 1, final) - first + 1 as members, first + n - 1 <= final as complete from r""")
 def consume_fixed(spark, sf_dir):
     """A short line takes the next line with it, greedily."""
-    return S.runs_fixed(_lines(spark, sf_dir).select("doc_id", "seq", "text"), "doc_id", "seq", F.when(F.length("text") < 60, 2).otherwise(1))
+    keys = _lines(spark, sf_dir).select("doc_id", "seq", F.when(F.length("text") < 60, 2).otherwise(1).alias("takes"), F.lit(-1).alias("rule"), F.array(F.lit(False)).alias("goes_on"), F.lit(False).alias("breaks"), F.lit(False).alias("ends_after"))
+    found = S.runs(keys, "doc_id", "seq").join(keys.select("doc_id", F.col("seq").alias("run"), "takes"), ["doc_id", "run"])
+    return found.groupBy("doc_id", F.col("run").alias("first")).agg(F.max("seq").alias("last"), F.count("*").alias("members"), (F.count("*") == F.max("takes")).alias("complete"))
 
 
 @query("""with e as (select event_id, user_id, ts, event_type in ('view', 'click') as go from events),
@@ -226,9 +250,10 @@ h as (select *, not go or max(event_id) over (partition by user_id, isl order by
 select event_id, user_id, last_value(case when head then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as run from h""")
 def consume_while(spark, sf_dir):
     """Views and clicks continue the run of the event before them."""
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    out = S.runs_while(e, ["user_id"], ["ts", "event_id"], F.lit(True), F.col("event_type").isin("view", "click"), F.lit(False))
-    return out.select("event_id", "user_id", F.col("run.event_id").alias("run"))
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), F.array(F.col("event_type").isin("view", "click")).alias("goes_on"))
+    placed = S.runs(e.select("user_id", "seq", F.lit(0).alias("takes"), F.lit(0).alias("rule"), "goes_on", F.lit(False).alias("breaks"), F.lit(False).alias("ends_after")), "user_id", "seq")
+    heads = e.select("user_id", F.col("seq").alias("run"), F.col("event_id").alias("head"))
+    return e.join(placed, ["user_id", "seq"]).join(heads, ["user_id", "run"]).select("event_id", "user_id", F.col("head").alias("run"))
 
 
 @query(f"""with {_PB}, li as (select page_id, seq, case when regexp_matches(text, '^[A-Z]') then cast(length(text) as bigint) end as v from pb where tag = 'li'),
@@ -242,14 +267,16 @@ def list_ordinal(spark, sf_dir):
 
 @query(f"with {_PB}, l as (select page_id, seq, tag, lag(tag) over (partition by page_id order by seq) as prev from pb) select page_id, seq from l where tag = 'p' and prev = 'h1'")
 def prev_sibling(spark, sf_dir):
-    lag = F.lag("tag").over(Window.partitionBy("page_id").orderBy("seq"))
-    return _blocks(spark, sf_dir).withColumn("prev", lag).where("tag = 'p' and prev = 'h1'").select("page_id", "seq")
+    found = B.with_selectors(nodes(_pages(spark, sf_dir)), {"hit": {"tag": "P", "previous_sibling": {"tag": "h1"}}})
+    return found.where("hit").select(F.col("book_id").cast("long").alias("page_id"), F.col("sib").cast("long").alias("seq"))
 
 
 @query(f"with {_PB} select page_id, seq, tag from pb where exists (select 1 from pb q where q.page_id = pb.page_id and q.tag = 'h1') and tag = 'li'")
 def has_primary_descendant(spark, sf_dir):
-    b = _blocks(spark, sf_dir).select("page_id", "seq", "tag")
-    return b.where("tag = 'li'").join(b.where("tag = 'h1'").select("page_id"), "page_id", "left_semi").select("page_id", "seq", "tag")
+    """List items of pages whose body has a heading as a child."""
+    n = B.with_selectors(nodes(_pages(spark, sf_dir)), {"hit": {"tag": "body", "has_child": {"tag": "h1"}}, "item": {"tag": "li"}})
+    items = n.where("item").select("book_id", F.col("sib").cast("long").alias("seq"), "tag")
+    return items.join(n.where("hit").select("book_id"), "book_id", "left_semi").select(F.col("book_id").cast("long").alias("page_id"), "seq", "tag")
 
 
 @query("""with e as (select user_id, event_id as k from events where event_type = 'error'), a as (select user_id, event_id as k from events where event_type <> 'error')
@@ -285,23 +312,22 @@ def locator_cardinality(spark, sf_dir):
 
 @query(f"with {_PB} select tag, count(*) as blocks, count(distinct page_id) as pages from pb group by tag")
 def pattern_profile(spark, sf_dir):
-    per = _blocks(spark, sf_dir).groupBy("tag", "page_id").agg(F.count("*").alias("n"))
-    return per.groupBy("tag").agg(F.sum("n").alias("blocks"), F.count("*").alias("pages"))
+    """Patterns by tag alone."""
+    p = authoring.profile(_scanned(spark, sf_dir).withColumn("classes", F.array().cast("array<string>")))
+    return p.select("tag", "blocks", F.col("documents").alias("pages"))
 
 
 @query(f"""with {_PB}, n as (select page_id, seq, tag, row_number() over (partition by page_id, tag order by seq) as a, row_number() over (partition by page_id, tag order by seq desc) as z from pb)
 select page_id, seq, tag from n where a <= 3 or z <= 3""")
 def pattern_examples(spark, sf_dir):
     """The first and last three blocks of each pattern of a page."""
-    w = Window.partitionBy("page_id", "tag")
-    b = _blocks(spark, sf_dir).select("page_id", "seq", "tag", F.row_number().over(w.orderBy("seq")).alias("a"), F.row_number().over(w.orderBy(F.desc("seq"))).alias("z"))
-    return b.where("a <= 3 or z <= 3").select("page_id", "seq", "tag")
+    return authoring.examples(_scanned(spark, sf_dir)).select("page_id", "seq", "tag")
 
 
 @query(f"with {_PB} select p.page_id, count(b.seq) as blocks from pages p left join pb b using (page_id) group by p.page_id")
 def blocks_per_document(spark, sf_dir):
-    counts = _blocks(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n"))
-    return read(spark, sf_dir, "pages").select("page_id").join(counts, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("blocks"))
+    counts = authoring.blocks_per_document(_pages(spark, sf_dir), _scanned(spark, sf_dir))
+    return counts.select(F.col("book_id").cast("long").alias("page_id"), "blocks")
 
 
 @query(f"""with {_DL} select doc_id, seq, '<line label="' || seq || '">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(13), '&#13;') || '</line>' as text from dl""")
@@ -361,6 +387,50 @@ _COVER = f"regexp_replace(regexp_replace(html, '{PAGE_BLOCK}', '', 'g'), '<(?:sc
 @query(f"select page_id, cast(length({_norm(_COVER)}) as bigint) as left_over from pages where {_norm(_COVER)} <> ''")
 def strict_coverage(spark, sf_dir):
     """Text of pages that no block and no deliberate exclusion covers."""
-    rest = F.regexp_replace(F.regexp_replace("html", PAGE_BLOCK, ""), "<(?:script|style|title)[^>]*>[^<]*|<[^>]*>", "")
-    p = read(spark, sf_dir, "pages").select("page_id", T.strip(T.collapse(rest)).alias("t")).where("t <> ''")
+    found = B.candidates(nodes(_pages(spark, sf_dir)))
+    left = B.uncovered(found).select("book_id", "element_path")
+    own = F.concat(F.when(F.col("root").isNull(), F.coalesce("txt", F.lit(""))).otherwise(F.lit("")), F.coalesce("tail", F.lit("")))
+    parts = found.join(left, ["book_id", "element_path"], "left_semi").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pre", own.alias("t")))).alias("x"))
+    p = parts.select(F.col("book_id").cast("long").alias("page_id"), T.strip(T.collapse(F.array_join(F.transform("x", lambda x: x["t"]), ""))).alias("t")).where("t <> ''")
     return p.select("page_id", F.length("t").cast("long").alias("left_over"))
+
+
+_RECIPE = {"recipe_version": "1", "epub": {"sha256": "0" * 64}, "normalization": {"unicode_normalization": "none"}}
+_FRONT = {"document": "d", "element_path": "1"}
+
+
+@query(f"""with {_DL}, n as (select doc_id, seq, {_norm('text')} as t from dl), l as (select * from n where t <> ''),
+g as (select *, count(case when regexp_matches(t, '^[A-Z]') then 1 end) over (partition by doc_id order by seq) as run from l),
+r as (select doc_id, case when run = 0 then seq else 1000000000 + run end as k, min(seq) as first, string_agg(t, ' ' order by seq) as text, run > 0 as sentence from g group by all)
+select doc_id, case when sentence then 'sentence' else 'rest' end as type, printf('%04d', 1 + row_number() over (partition by doc_id order by first)) as id, text from r
+union all select doc_id, 'heading', '0001', 'Document ' || doc_id from documents where text is not null""")
+def recipe_joins(spark, sf_dir):
+    """A whole recipe over the lines of all documents: a line with a capital takes the lines without one that follow."""
+    output = {
+        "identifiers": {"block": {"template": "{number:04d}"}}, "default": {"type": "rest"},
+        "rules": [{"match": {"tag": "h1"}, "type": "heading"}, {"match": {"text_pattern": "^[A-Z]"}, "type": "sentence", "consume_while": {"text_pattern": "^[^A-Z]"}}],
+    }
+    records = compile_recipe(line_documents(read(spark, sf_dir, "documents")), _RECIPE | {"output": output}, pin=False).records()
+    return records.select(F.col("book_id").cast("long").alias("doc_id"), "type", "id", "text")
+
+
+@query(f"""with {_DL}, l as (select doc_id, seq, {_norm('text')} as t from dl where seq > 0)
+select doc_id, 'line' as type, printf('front.%03d', seq + 2) as id, t as text from l
+union all select doc_id, 'name', 'front.001', 'Paper' from documents where text is not null
+union all select doc_id, 'digit', 'front.002', substring(doc_id::varchar, 1, 1) from documents where text is not null
+union all select doc_id, 'note', 'front:1', 'Document ' || doc_id || '/' || substring(doc_id::varchar, 1, 1) from documents where text is not null""")
+def recipe_edits(spark, sf_dir):
+    """A whole recipe over the lines of all documents: the heading is replaced by two slices and a joined note follows
+    it, the first line is skipped, empty lines are kept, groups come from a transition, and an erratum is applied."""
+    piece = lambda a, b: _FRONT | {"slice": {"start": a, "end": b}}
+    recipe = _RECIPE | {
+        "source_blocks": {"element_rules": [{"match": {"tag": "p"}, "action": "block", "keep_empty": True}]},
+        "errata": [{"id": "front.001", "find": "Document", "replace": "Paper"}],
+        "output": {
+            "groups": {"transitions": {"d#1": "front"}}, "identifiers": {"block": {"template": "{group}.{number:03d}"}}, "default": {"type": "line", "allow_empty": True}, "skip_source": ["d#2"],
+            "replacements": [{"anchor": "d#1", "outputs": [{"type": "name", "parts": [piece(0, 8)]}, {"type": "digit", "parts": [piece(9, 10)]}]}],
+            "insertions": [{"after": "d#1", "outputs": [{"type": "note", "role": "fixed", "id": "{group}:{element_path}", "separator": "/", "parts": [_FRONT, piece(9, 10)]}]}],
+        },
+    }
+    records = compile_recipe(line_documents(read(spark, sf_dir, "documents")), recipe, pin=False).records()
+    return records.select(F.col("book_id").cast("long").alias("doc_id"), "type", "id", "text")
