@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .errors import ExtractionError
 from .functions.text import literal_glob
+from .saving import save_json
 from .sink import checked
 
 KINDS = ("heading", "paragraph", "line-start", "line", "skip")
@@ -94,6 +95,11 @@ def save_session(state: dict) -> str:
     return text
 
 
+def write_session(path: str, state: dict, seen: bytes | None = None) -> bytes:
+    """Saves a session file whole or not at all; see saving.save_json."""
+    return save_json(path, {"version": 1} | state, seen, SESSION_BYTES)
+
+
 def load_session(text: str, sha256: str) -> dict:
     if len(text.encode()) > SESSION_BYTES:
         raise ExtractionError("the session is too large")
