@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from . import authoring
 from .operators import blocks as B
+from .operators import markup as M
 from .operators import records as R
 from .operators import sequence as S
 from .plans.compiler import compile_recipe
@@ -349,10 +350,10 @@ def render_literal(spark, sf_dir):
 
 @query(f"with {_PB} select page_id, seq, regexp_extract(raw, 'href=\"/([^\"]*)\"', 1) as label from pb where regexp_matches(raw, 'href=\"/[^\"]+\"')")
 def milestone_labels(spark, sf_dir):
-    """Labels taken from an attribute, a fixed prefix removed."""
-    label = F.regexp_extract("raw", 'href="([^"]*)"', 1)
-    b = _blocks(spark, sf_dir).where(F.col("raw").rlike('href="/[^"]+"'))
-    return b.select("page_id", "seq", F.when(label.startswith("/"), label.substr(F.lit(2), F.length(label))).otherwise(label).alias("label"))
+    """Labels that milestones take from an attribute, a fixed prefix removed."""
+    rule = {"match": {"tag": "a", "attribute_prefixes": {"href": "/"}}, "kind": "milestone", "name": "a", "label_attribute": "href", "label_strip_prefix": "/", "label_text": False, "label_counter": None, "position": "replace", "continue_matching": False, "preserve_whitespace": False}
+    marked = M.with_marks(nodes(_pages(spark, sf_dir)), [rule], B.DOC).where((F.size("marks") > 0) & F.col("mark_fault").isNull())
+    return marked.select(F.col("book_id").cast("long").alias("page_id"), F.col("path")[0].cast("long").alias("seq"), F.col("marks")[0]["label"].alias("label"))
 
 
 @query("""with a as (select doc_id, text, strpos(text, 'the ') as p from documents),
@@ -434,3 +435,18 @@ def recipe_edits(spark, sf_dir):
     }
     records = compile_recipe(line_documents(read(spark, sf_dir, "documents")), recipe, pin=False).records()
     return records.select(F.col("book_id").cast("long").alias("doc_id"), "type", "id", "text")
+
+
+@query(f"""with {_PB}, n as (select page_id, seq, tag, raw, {_norm('text')} as t from pb where {_norm('text')} <> '')
+select page_id, printf('%03d', row_number() over (partition by page_id order by seq)) as id,
+  case when regexp_matches(raw, '^<li[^>]*><a ') then '[' || t || ']' || t when regexp_matches(raw, '^<p[^>]*><b>') then '*' || t || '*' else t end as text from n""")
+def recipe_markup(spark, sf_dir):
+    """A whole recipe over all pages: links are milestones labelled by their text, bold text is a span between stars."""
+    rules = [
+        {"match": {"tag": "a"}, "kind": "milestone", "name": "link", "label_text": True, "position": "before"},
+        {"match": {"tag": "b"}, "kind": "span", "name": "bold"},
+    ]
+    markup = {"format": "literal", "rules": rules, "delimiters": {"link": ["[", "]"], "bold": ["*", "*"]}, "between_blocks": "ignore", "trailing": "ignore"}
+    output = {"identifiers": {"block": {"template": "{number:03d}"}}, "default": {"type": "block"}}
+    records = compile_recipe(_pages(spark, sf_dir), _RECIPE | {"text": {"markup": markup}, "output": output}, pin=False).records()
+    return records.select(F.col("book_id").cast("long").alias("page_id"), "id", "text")
