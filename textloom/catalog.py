@@ -43,7 +43,7 @@ def query(sql: str | None = None):
 
 
 def _plain(c: str = "text"):
-    return T.strip(T.collapse(F.col(c)))
+    return F.trim(T.collapse(F.col(c)))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

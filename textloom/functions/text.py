@@ -34,15 +34,17 @@ def blank(c: Column) -> Column:
 
 
 def unicode_normalise(c: Column, form: str = "NFC") -> Column:
-    """Unicode normal form; pure ASCII never leaves the JVM."""
+    """Unicode normal form. Text that has it already never leaves the JVM: ASCII, and for NFC all below U+0300, where
+    no character combines with another."""
     if form == "none":
         return c
 
     @F.pandas_udf("string")
     def other(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+        return s.map(lambda x: x if x is None or unicodedata.is_normalized(form, x) else unicodedata.normalize(form, x))
 
-    return F.when(c.rlike(r"\A\p{ASCII}*\z"), c).otherwise(other(F.when(~c.rlike(r"\A\p{ASCII}*\z"), c)))
+    last = r"\x{2FF}" if form == "NFC" else r"\x7F"
+    return F.coalesce(other(F.when(c.rlike(rf"[^\x00-{last}]"), c)), c)
 
 
 def normalise(c: Column, collapse_whitespace: bool = True, strip_ends: bool = True, form: str = "NFC") -> Column:
@@ -50,7 +52,7 @@ def normalise(c: Column, collapse_whitespace: bool = True, strip_ends: bool = Tr
     if collapse_whitespace:
         c = collapse(c)
     if strip_ends:
-        c = strip(c)
+        c = F.trim(c) if collapse_whitespace else strip(c)
     return unicode_normalise(c, form)
 
 
