@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,21 +60,34 @@ def decided(blocks: DataFrame, general: Mapping[str, str], per_document: Mapping
     return out.withColumn("kind", F.coalesce(as_map(special)[key], as_map(dict(general))[F.col("pattern")], suggest(F.col("tag"))))
 
 
-def build_recipe(sha256: str, identifier: str | None, patterns: list[tuple[str, list[str], str]], groups: Mapping[str, str]) -> dict:
-    """A recipe from (tag, classes, kind) decisions and group codes by document path."""
+def skipped(decisions: DataFrame) -> list[str]:
+    """Locators of the blocks of one book that are skipped, in order, for build_recipe(); decisions as by decided()."""
+    return [r["locator"] for r in decisions.where("kind = 'skip'").orderBy("seq").select("locator").collect()]
+
+
+def build_recipe(
+    sha256: str, identifier: str | None, patterns: list[tuple[str, list[str], str]], groups: Mapping[str, str], per_document: Sequence[tuple[str, str, list[str], str]] = (), skip: Sequence[str] | None = None
+) -> dict:
+    """A recipe from (tag, classes, kind) decisions and group codes by document path.
+
+    per_document: (document, tag, classes, kind), which come before the general decisions. skip: locators of the blocks
+    to leave out, see skipped(). Without it, elements of skipped patterns are left out by rules, which a document
+    can't take back, so decisions for documents need it.
+    """
+    if per_document and skip is None:
+        raise ExtractionError("decisions for documents need the locators of the skipped blocks")
+    if unknown := sorted({d for d, *_ in per_document} - set(groups)):
+        raise ExtractionError(f"a decision for {unknown[0]!r}, which has no group")
     rules, exclude = [], []
-    for tag, classes, kind in sorted(patterns, key=lambda p: (-len(p[1]), p[0], p[1])):
-        match = {"tag": tag, "classes": classes}
-        if kind == "skip":
-            exclude.append({"match": match, "action": "skip"})
-        elif kind == "heading":
-            rules.append({"match": match, "type": "heading", "role": "block"})
-        elif kind in ("line-start", "line"):
-            rules.append({"match": match, "type": "line", "role": kind})
-        elif kind == "paragraph":
-            rules.append({"match": match, "type": "paragraph", "role": "block"})
-        else:
+    order = lambda p: (-len(p[-2]), *p)
+    for document, tag, classes, kind in [*sorted(per_document, key=order), *((None, *p) for p in sorted(patterns, key=order))]:
+        match = {"tag": tag, "classes": classes} | ({"locators": [literal_glob(document) + "#*"]} if document else {})
+        if kind not in KINDS:
             raise ExtractionError(f"unknown decision {kind!r}")
+        if kind != "skip":
+            rules.append({"match": match, "type": "line" if kind.startswith("line") else kind, "role": kind if kind.startswith("line") else "block"})
+        elif skip is None:
+            exclude.append({"match": match, "action": "skip"})
     return {
         "recipe_version": "1",
         "epub": {"sha256": sha256} | ({"identifier": identifier} if identifier else {}),
@@ -84,6 +97,7 @@ def build_recipe(sha256: str, identifier: str | None, patterns: list[tuple[str,
             "identifiers": {"block": {"template": "{group}.{number:03d}"}, "line": {"template": "{group}.{block:03d}.{number:02d}"}},
             "default": {"type": "paragraph", "role": "block"},
             "rules": rules,
+            "skip_source": list(skip or ()),
         },
     }
 

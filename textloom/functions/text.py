@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import cache
 from string import Formatter
 
 import pandas as pd
@@ -111,7 +112,7 @@ def searches(c: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """Shell pattern as a regular expression over lower-cased text; * crosses slashes."""
+    """Shell pattern as a regular expression over case-folded text; * crosses slashes."""
     out, i = [], 0
     while i < len(glob):
         c = glob[i]
@@ -141,11 +142,25 @@ def glob_regex(glob: str) -> str:
     return r"(?s)\A" + "".join(out) + r"\z"
 
 
+@cache
+def _fold_exceptions() -> str:
+    """Characters whose case folding isn't their lower case, with their folding, for str_to_map."""
+    every = (chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000)
+    return "\x01".join(f"{c}\x02{c.casefold()}" for c in every if c.casefold() != c.lower())
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding; text in ASCII takes the short way."""
+    table = F.str_to_map(F.lit(_fold_exceptions()), F.lit("\x01"), F.lit("\x02"))
+    folded = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(table[x], F.lower(x))), "")
+    return F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(F.lower(c))
+
+
 def glob_any(c: Column, globs: Sequence[str]) -> Column:
     """Whether any glob matches, whatever the case."""
-    found = F.lit(False)
+    text, found = casefold(c), F.lit(False)
     for g in globs:
-        found = found | F.lower(c).rlike(glob_regex(g.lower()))
+        found = found | text.rlike(glob_regex(g.casefold()))
     return found
 
 
