@@ -450,3 +450,17 @@ def recipe_markup(spark, sf_dir):
     output = {"identifiers": {"block": {"template": "{number:03d}"}}, "default": {"type": "block"}}
     records = compile_recipe(_pages(spark, sf_dir), _RECIPE | {"text": {"markup": markup}, "output": output}, pin=False).records()
     return records.select(F.col("book_id").cast("long").alias("page_id"), "id", "text")
+
+
+@query(f"""with {_DL}, n as (select doc_id, seq, case when (seq + 2) % 5 = 0 then '' else {_norm('text')} end as t from dl union all select doc_id, -1, 'Document ' || doc_id from documents where text is not null),
+k as (select *, count(case when t <> '' then 1 end) over (partition by doc_id order by seq desc) as k from n),
+b as (select *, sum((t = '')::int) over (partition by doc_id, k) as marks, sum((k = 0)::int) over (partition by doc_id) as rest from k)
+select doc_id, printf('%04d', row_number() over (partition by doc_id order by seq)) as id, repeat('~', marks::int) || t || case when k = 1 then repeat('~', rest::int) else '' end as text from b where t <> ''""")
+def recipe_milestones(spark, sf_dir):
+    """A whole recipe over the lines of all documents with milestones between blocks: an empty line, and each line whose
+    place ends in 0 or 5, becomes a mark on the next line with text; those after the last one go to its end."""
+    rules = [{"match": {"locators": ["d#*[05]"]}, "kind": "milestone", "name": "mark"}, {"match": {"tag": "p", "empty": True}, "kind": "milestone", "name": "mark"}]
+    markup = {"format": "literal", "rules": rules, "delimiters": {"mark": ["~", ""]}, "between_blocks": "next", "trailing": "previous"}
+    output = {"identifiers": {"block": {"template": "{number:04d}"}}, "default": {"type": "line"}}
+    records = compile_recipe(line_documents(read(spark, sf_dir, "documents")), _RECIPE | {"text": {"markup": markup}, "output": output}, pin=False).records()
+    return records.select(F.col("book_id").cast("long").alias("doc_id"), "id", "text")
