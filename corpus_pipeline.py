@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import table, written
+from textloom.llm.common import passing, table, written
 from textloom.llm.decontaminate import decontaminate
 from textloom.llm.packing import pack
 from textloom.llm.simhash import keep_one
@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        with passing():  # what a stage wrote on its way goes when its result is there
+            docs = written(stage(spark, docs, sf_dir), stays=True)
     return docs

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -365,6 +366,58 @@ def test_similar_groups_finds_pairs_under_a_shared_template(spark):
         assert both.tolist() == [[len(x & y) for y in sets[1 : 1 + side]] for x in sets[:rest]]
 
 
+def test_keep_one_leaves_two_tables_and_shuffles_no_text(spark, monkeypatch):
+    """Before, all tables of the search stayed until the end of the session, and the result sent whole texts to be joined."""
+    import os
+
+    from textloom import storage
+    from textloom.llm import simhash as M
+
+    rng, base = random.Random(12), texts(30, 12, 120)
+    rows = [(i, t) for i, t in enumerate(base)] + ODD
+    for i in range(60):
+        w = base[i % 20].split()
+        w[rng.randrange(len(w))] = f"new{i}"
+        rows.append((1000 - i, " ".join(w)))
+    docs, folder = docs_of(spark, rows).repartition(7), f"{storage.shared_dir(spark).removeprefix('file:')}/textloom"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    kept = M.keep_one(docs)
+    assert len(set(os.listdir(folder)) - before) == 2  # the rows with their numbers, and the marks of those kept
+    assert "bitmap" in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    some = sorted(kept.collect(), key=str)
+    monkeypatch.setattr(M, "BITMAPS", 0)  # more bitmaps than may be broadcast: the same rows by a shuffle
+    assert sorted(M.keep_one(docs).collect(), key=str) == some
+    assert len([r for r in some if r["doc_id"] in range(20)]) == 20 and not [r for r in some if (r["doc_id"] or 0) > 906]
+
+
+def test_written_drops_shuffle_files_and_scopes_drop_tables(spark):
+    import os
+
+    from textloom import storage
+
+    def there(df):
+        return [os.path.exists(f.removeprefix("file://")) for f in files[id(df)]]
+
+    def shuffled():
+        return {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")}
+
+    before, files, old = spark.conf.get(storage.CLEANUP), {}, shuffled()
+    with storage.passing():
+        a = storage.written(spark.range(100).repartition(3))
+        with storage.passing():
+            b, c = storage.written(a.groupBy("id").count()), storage.written(a.where("id < 5"), stays=True)
+            files = {id(x): x.inputFiles() for x in (a, b, c)}
+        for _ in range(100):  # another thread removes them
+            if not shuffled() - old:
+                break
+            time.sleep(0.1)
+        assert not shuffled() - old
+        assert all(there(a)) and not any(there(b)) and c.count() == 5
+    assert not any(there(a)) and not any(there(c))
+    assert spark.conf.get(storage.CLEANUP) == before
+
+
 def test_op6_round_trip(spark):
     import numpy as np
     import public_tokenizers

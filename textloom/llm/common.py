@@ -6,9 +6,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.storage import shared_dir, written
+from textloom.storage import passing, shared_dir, written
 
-__all__ = ["Sent", "numbered", "parallelism", "shared_dir", "table", "text_bytes", "tune", "written"]
+__all__ = ["Sent", "numbered", "parallelism", "passing", "shared_dir", "table", "text_bytes", "tune", "written"]
 
 
 def tune(spark: SparkSession) -> None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, tune, written
+from .common import numbered, passing, tune, written
 from .components import components
 
 #: Bit ranges (low bit, width). Fingerprints at distance 2 or less agree in 3 of these 5 blocks at least.
@@ -84,29 +84,33 @@ def _distance(i: int, side: str = "") -> Column:
     return F.shiftright(F.col(f"{side}p{i // WORD}"), 7 * (i % WORD)).bitwiseAND(F.lit(127))
 
 
-def _cell(block: int) -> Column:
+def _cell(block: int, side: str = "") -> Column:
     """What the table says about one block: distances to its references less the distance to the base.
 
     Outside the block these references equal the base, so fingerprints that agree in the block have the same cell.
     """
     first = 1 + block * PATTERNS
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(_distance(first + j) - _distance(0) + 16, 5 * j) for j in range(PATTERNS)])
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(_distance(first + j, side) - _distance(0, side) + 16, 5 * j) for j in range(PATTERNS)])
 
 
 def candidates(fps: DataFrame) -> DataFrame:
     """Pairs (x, y: structs of fp and table) of distinct fingerprints that share the cells of three blocks, each pair once.
 
     Two fingerprints that differ in two bits or fewer agree in three of the five blocks, hence in these blocks' cells.
-    A pair is reported by the first block triple whose cells it shares.
+    A pair is reported by the first block triple whose cells it shares. Only fingerprints and keys are shuffled; the
+    table's rows of two that meet are made again from these.
     """
-    table = fps.select("fp", *pivot_table(F.col("fp"))).select("*", *[_cell(i).alias(f"c{i}") for i in range(len(BLOCKS))])
+    table = fps.select("fp", *pivot_table(F.col("fp"))).select("fp", *[_cell(i).alias(f"c{i}") for i in range(len(BLOCKS))])
     triples = list(itertools.combinations(range(len(BLOCKS)), 3))
     keys = F.array(*[F.struct(F.lit(n).alias("t"), F.xxhash64(F.lit(n), *[f"c{i}" for i in t]).alias("key")) for n, t in enumerate(triples)])
-    rows = table.select("*", F.inline(keys))
+    rows = table.select("fp", F.inline(keys))
     x, y = rows.alias("x"), rows.alias("y")
-    same = [F.col(f"x.c{i}") == F.col(f"y.c{i}") for i in range(len(BLOCKS))]
-    first = F.coalesce(*[F.when(same[a] & same[b] & same[c], F.lit(n)) for n, (a, b, c) in enumerate(triples)])
-    return x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (first == F.col("x.t")))
+    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))).select("x.t", F.col("x.fp").alias("x"), F.col("y.fp").alias("y"))
+    sides = [F.struct(F.col(side).alias("fp"), *pivot_table(F.col(side))).alias(side) for side in "xy"]
+    both = met.select("t", F.inline(F.array(F.struct(*sides))))  # a generator, so that later conditions don't repeat the table
+    shared = reduce(lambda a, b: a + b, [F.when(_cell(i, "x.") == _cell(i, "y."), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(BLOCKS))])
+    first = [next((n for n, t in enumerate(triples) if all(m >> i & 1 for i in t)), -1) for m in range(1 << len(BLOCKS))]
+    return both.where(F.element_at(F.array(*map(F.lit, first)), shared + 1) == F.col("t")).select("x", "y")
 
 
 def survive(bits: int) -> Column:
@@ -150,6 +154,7 @@ BANDS, ROWS = 16, 3  # buckets of a text, and min-wise samples that one bucket t
 PAIRED = 8  # rows up to which a bucket compares all its pairs at once
 SIDE_ROWS, SIDE_SHINGLES = 1024, 1 << 20  # what one side of a block of a larger bucket holds, about
 BROADCAST_ROWS = 200_000
+BITMAPS = 16_384  # bitmaps of 4 KB that are broadcast, 64 MB
 
 
 def shingle_hashes(text: str | None, words: int):
@@ -287,6 +292,13 @@ def _similar(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """similar_groups() of a written table (row_no, doc_id, text)."""
     tune(rows.sparkSession)
     seen = written(rows.mapInArrow(lambda it: _features(it, words), "row_no long, doc_id long, d1 long, d2 long, fp long, size long, bands array<long>"))
+    with passing():
+        placed = _placed(rows, seen, words, similarity)
+    return seen.join(placed, ["d1", "d2"]).select("row_no", "doc_id", "component")
+
+
+def _placed(rows: DataFrame, seen: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(d1, d2, component) of every text of `seen`; a table that outlives the scope of passing()."""
     distinct = written(seen.groupBy("d1", "d2").agg(F.min("row_no").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     spread = distinct.select("id", "size", F.posexplode("bands").alias("band", "key"))
     salted = F.struct(F.xxhash64("key", "id").alias("s"), "id", "size")
@@ -321,15 +333,18 @@ def _similar(rows: DataFrame, words: int, similarity: float) -> DataFrame:
             known = components(found)
             l, r = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
             todo = todo.join(l, "a", "left").join(r, "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
-        sided = todo.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        todo = written(todo.select("a", "b"))
+        used = todo.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        some = sets.join(F.broadcast(used), "id", "left_semi") if used.count() <= BROADCAST_ROWS else sets
+        sided = todo.join(some.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         more = written(sided.select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long"))
         found = more if found is None else found.unionByName(more)
     groups = components(found)
     more = _rest_links(rows, met.where(F.col("n") > PAIRED).select("key", "id", "size"), groups, words, similarity)
     if more is not None:
         groups = components(found.unionByName(more))
-    placed = written(distinct.select("d1", "d2", "id").join(groups, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component")))
-    return seen.join(placed, ["d1", "d2"]).select("row_no", "doc_id", "component")
+    placed = distinct.select("d1", "d2", "id").join(groups, F.col("id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
+    return written(placed, stays=True)
 
 
 def _rest_links(rows: DataFrame, hot: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame | None:
@@ -366,9 +381,22 @@ def _rest_links(rows: DataFrame, hot: DataFrame, groups: DataFrame, words: int,
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row left of each group of similar_groups(): the smallest doc_id, then the earliest row."""
+    """docs with one row left of each group of similar_groups(): the smallest doc_id, then the earliest row.
+
+    Rows kept are marked in bitmaps by row number, 4 KB for each 32,768 rows of a partition, so whole texts need no
+    shuffle up to BITMAPS of them.
+    """
     pinned = numbered(docs, "_textloom_row")
-    found = _similar(pinned.select(F.col("_textloom_row").alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), words, similarity)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")
-    kept = found.groupBy("component").agg(F.min(order).alias("kept")).select(F.col("kept.row_no").alias("_textloom_row"))
-    return pinned.join(written(kept), "_textloom_row", "left_semi").select(*docs.columns)
+    bucket = F.bitmap_bucket_number("_textloom_row").alias("_textloom_bucket")
+    with passing():
+        found = _similar(pinned.select(F.col("_textloom_row").alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), words, similarity)
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")
+        kept = found.groupBy("component").agg(F.min(order).alias("kept")).select(F.col("kept.row_no").alias("_textloom_row"))
+        bits = F.bitmap_construct_agg(F.bitmap_bit_position("_textloom_row")).alias("_textloom_bits")
+        bitmaps = written(kept.groupBy(bucket).agg(bits), stays=True)
+    if bitmaps.count() <= BITMAPS:
+        bitmaps = F.broadcast(bitmaps)
+    at = F.bitmap_bit_position("_textloom_row")
+    byte = F.conv(F.hex(F.substring("_textloom_bits", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    held = pinned.select("*", bucket).join(bitmaps, "_textloom_bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return held.select(*docs.columns)

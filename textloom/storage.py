@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_scopes: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("_scopes", default=())
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,21 +35,47 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
+def written(df: DataFrame, rows_per_file: int | None = None, stays: bool = False) -> DataFrame:
     """df, computed once, written as Parquet in the shared folder and read back.
 
-    Lineage ends at the table, so a lost executor costs only the tasks it was running.
+    Lineage ends at the table, so a lost executor costs only the tasks it was running. Shuffle files of the plan go as
+    soon as it is written, not when the driver happens to collect its garbage. stays: the table outlives the innermost
+    scope of passing().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/textloom/{uuid.uuid4().hex}"
+    scopes = _scopes.get()[:-1] if stays else _scopes.get()
+    (scopes[-1] if scopes else _written).append((spark, path))
     out = df.write.option("compression", "zstd")
     if rows_per_file:
         out = out.option("maxRecordsPerFile", rows_per_file)
-    out.parquet(path)
-    _written.append((spark, path))
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        out.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """Tables written inside are deleted at the end, except those that stay: no plan that is used later may read them."""
+    inside: list[tuple[SparkSession, str]] = []
+    token = _scopes.set((*_scopes.get(), inside))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for spark, path in inside:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
