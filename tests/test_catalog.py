@@ -55,3 +55,22 @@ def test_a_recipe_asks_its_checks_at_once(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalog.recipe_edits(spark, str(tmp_path)).count() == 4
     assert len(asked) == 2 and sum(asked) >= 15  # one action for the plan, one for the records
+
+
+def test_pages_leave_a_worker_in_small_batches():
+    import pyarrow as pa
+
+    from textloom.sources.tables import page_documents
+
+    class Pages:  # calls the function as a worker does
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):
+            every = [(k, "<p>a <b>b</b></p>" * (5000 if k == 50 else 40)) for k in range(300)]
+            return list(f(iter([pa.RecordBatch.from_pylist([{"page_id": k, "html": h} for k, h in every])])))
+
+    got = page_documents(Pages())
+    assert [x for b in got for x in b["book_id"].to_pylist()] == [str(k) for k in range(300)]
+    sizes = [(b.num_rows, sum(map(len, b["nodes"].to_pylist()))) for b in got]
+    assert all(n <= 4096 or pages == 1 for pages, n in sizes) and sum(n for _, n in sizes) == 299 * 81 + 10001

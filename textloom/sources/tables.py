@@ -91,8 +91,15 @@ def soup_nodes(html: str | None) -> list[dict]:
     return out
 
 
+#: Nodes that a Python worker holds at once, unless a single page has more.
+NODES_A_BATCH = 4096
+
+
 def page_documents(pages: DataFrame) -> DataFrame:
-    """Web pages as documents with node tables, as packaged books are read: each page is a book of one document."""
+    """Web pages as documents with node tables, as packaged books are read: each page is a book of one document.
+
+    Nodes leave a worker in batches of NODES_A_BATCH, whatever the number of pages in a batch that it gets.
+    """
     from .books import DOCUMENT, _arrow_schema
 
     def parse(batches):
@@ -101,8 +108,16 @@ def page_documents(pages: DataFrame) -> DataFrame:
         schema = _arrow_schema()
         base = {"sha256": None, "package_path": None, "identifiers": [], "position": 1, "properties": [], "linear": True, "error": None}
         for b in batches:
-            rows = [base | {"book_id": str(k), "document_path": f"page/{k}", "nodes": soup_nodes(h)} for k, h in zip(b["page_id"].to_pylist(), b["html"].to_pylist())]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows, held = [], 0
+            for k, h in zip(b["page_id"], b["html"]):
+                found = soup_nodes(h.as_py())
+                if rows and held + len(found) > NODES_A_BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, held = [], 0
+                rows.append(base | {"book_id": str(k.as_py()), "document_path": f"page/{k.as_py()}", "nodes": found})
+                held += len(found)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return pages.select("page_id", "html").mapInArrow(parse, DOCUMENT)
 
