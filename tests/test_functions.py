@@ -126,3 +126,21 @@ def test_errata_and_escapes(spark):
     s = spark.createDataFrame([('<a&"\r\t[x]\\',)], "t string")
     assert s.select(R.escape_xml(F.col("t"), attribute=True)).head()[0] == "&lt;a&amp;&quot;&#13;&#9;[x]\\"
     assert s.select(R.escape_delimiters(F.col("t"), ["[", "]"], whitespace=True)).head()[0] == '<a&"\\r\\t\\[x\\]\\\\'
+
+
+def test_runs_of_a_single_while_rule_need_no_python(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators import sequence as S
+
+    draw = random.Random(5)
+    rows = [(b, 3 * i, *(draw.random() < p for p in (0.4, 0.7, 0.15, 0.15))) for b in range(40) for i in range(draw.randint(1, 30))]
+    df = spark.createDataFrame(rows, "b int, i long, starts boolean, goes boolean, breaks boolean, ends_after boolean")
+    keys = df.select("b", "i", F.when(F.col("starts"), 0).otherwise(1).alias("takes"), F.when(F.col("starts"), 0).otherwise(-1).alias("rule"), F.array("goes").alias("goes_on"), "breaks", "ends_after")
+    want = sorted(map(tuple, S.runs(keys, "b", "i").select("b", "i", "run", "place").collect()))
+    found = S.runs_while(df, "b", "i", F.col("starts"), F.col("goes")).select("b", "i", "run", "place")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == want and max(p for *_, p in want) > 3
+    assert plan.count("Exchange hashpartitioning") == 1 and "MapInArrow" not in plan
