@@ -74,3 +74,56 @@ def test_pages_leave_a_worker_in_small_batches():
     assert [x for b in got for x in b["book_id"].to_pylist()] == [str(k) for k in range(300)]
     sizes = [(b.num_rows, sum(map(len, b["nodes"].to_pylist()))) for b in got]
     assert all(n <= 4096 or pages == 1 for pages, n in sizes) and sum(n for _, n in sizes) == 299 * 81 + 10001
+
+
+def _dealt_out(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def _written(monkeypatch, *modules):
+    """Exchanges in the plan of each table that the modules write, in order."""
+    from textloom import storage
+
+    found = []
+    for m in modules:
+        monkeypatch.setattr(m, "written", lambda df, **options: (found.append(_dealt_out(df)), storage.written(df, **options))[1])
+    return found
+
+
+def test_blocks_are_dealt_out_once(spark, tmp_path, monkeypatch):
+    from textloom.operators.blocks import blocks
+    from textloom.plans import compiler
+    from textloom.sources.tables import line_documents, page_documents
+
+    rows = [(1, "a\n\nb", "en", "x", 4), (2, None, "en", "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert _dealt_out(blocks(line_documents(docs), form="none")) == 1
+    pages = spark.createDataFrame([(1, "<h1>a</h1><p>b <b>c</b>"), (2, None)], "page_id long, html string")
+    assert _dealt_out(blocks(page_documents(pages), form="none")) == 1
+    found = _written(monkeypatch, compiler)
+    assert catalog.recipe_edits(spark, str(tmp_path)).count() == 5
+    assert found[:2] == [0, 1]  # the documents, and their blocks
+
+
+def test_blocks_with_milestones_are_dealt_out_for_texts_and_for_outputs(spark, tmp_path, monkeypatch):
+    from textloom.operators import blocks
+    from textloom.plans import compiler
+
+    rows = [(1, "a\n\nb", "en", "x", 4), (2, "c\nd", "en", "x", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = _written(monkeypatch, blocks, compiler)
+    got = sorted(map(tuple, catalog.recipe_milestones(spark, str(tmp_path)).collect()))
+    assert got == [(1, "0001", "Document 1"), (1, "0002", "a"), (1, "0003", "~b"), (2, "0001", "Document 2"), (2, "0002", "c"), (2, "0003", "d")]
+    assert found[:2] == [1, 1]
+
+
+def test_link_texts_read_the_dealt_out_pages_again(spark, tmp_path, monkeypatch):
+    from textloom.operators import blocks
+
+    rows = [(1, "u", '<p>a <a href="/x">b <b>c</b></a> d'), (2, "v", "<li><b>e</b>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = _written(monkeypatch, blocks)
+    got = sorted(map(tuple, catalog.recipe_markup(spark, str(tmp_path)).collect()))
+    assert got == [(1, "001", "a [b c]b *c* d"), (2, "001", "*e*")]
+    assert len(found) == 1
